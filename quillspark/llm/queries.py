@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts
-from .scratch import read_table
+from . import bpe, chat, hosts, htmlmain, simhash
+from .scratch import Scratch, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +18,11 @@ def tokenizer_file(name: str) -> str:
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -93,11 +99,17 @@ def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coded_digests(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract_main_text(read_table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
+
+
 def queries() -> dict:
     return {
+        "op2_simhash_dedup": op2_simhash_dedup,
         "op4_chat_formatting": op4_chat_formatting,
         "op8_url_filter": op8_url_filter,
         "op9_bpe_coding": op9_bpe_coding,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
