@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts, htmlmain, simhash
+from . import bpe, chat, hosts, htmlmain, simhash, tokenstore
 from .scratch import Scratch, read_table
 
 
@@ -18,6 +18,12 @@ def tokenizer_file(name: str) -> str:
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op1")
+    store = tokenstore.write_store(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), scratch)
+    return tokenstore.read_digests(store, scratch)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -105,6 +111,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_token_store": op1_token_store,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op4_chat_formatting": op4_chat_formatting,
         "op8_url_filter": op8_url_filter,
