@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts, htmlmain, simhash, tokenstore
+from . import bpe, chat, hosts, htmlmain, simhash, tokenstore, warc
 from .scratch import Scratch, read_table
 
 
@@ -53,6 +53,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "op6"), min_bytes=0))
+
+
+_FIVE = " + ".join(f"{1 << (4 - b)} * cast(substr(bits, 5 * i + {b + 1}, 1) AS integer)" for b in range(5))
+OP6_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages
+), d AS (
+  SELECT page_id, n, sha, min(page_id) OVER (PARTITION BY sha) AS first_id, cast(cast(unhex(sha) AS bit) AS varchar) AS bits FROM p
+)
+SELECT page_id, cast(n AS bigint) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+  CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM d
+"""
+
 #: Fixed values of the contract: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -114,6 +132,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op4_chat_formatting": op4_chat_formatting,
+        "op6_warc_archive": op6_warc_archive,
         "op8_url_filter": op8_url_filter,
         "op9_bpe_coding": op9_bpe_coding,
         "op10_html_extraction": op10_html_extraction,
@@ -121,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op8_url_filter": OP8_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_warc_archive": OP6_SQL, "op8_url_filter": OP8_SQL}
