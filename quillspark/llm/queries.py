@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts, htmlmain, simhash, tokenstore, warc
+from . import bpe, chat, hosts, htmlmain, langid, simhash, tokenstore, warc
 from .scratch import Scratch, read_table
 
 
@@ -29,6 +29,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(read_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -131,6 +135,7 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_warc_archive": op6_warc_archive,
         "op8_url_filter": op8_url_filter,
