@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts, htmlmain, langid, simhash, tokenstore, warc
+from . import bpe, chat, hosts, htmlmain, langid, rotcodes, simhash, tokenstore, warc
 from .scratch import Scratch, read_table
 
 
@@ -57,6 +57,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotcodes.near_duplicates(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "op6"), min_bytes=0))
 
@@ -137,6 +141,7 @@ def queries() -> dict:
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_warc_archive": op6_warc_archive,
         "op8_url_filter": op8_url_filter,
         "op9_bpe_coding": op9_bpe_coding,
