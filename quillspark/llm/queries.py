@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hosts, htmlmain, langid, rotcodes, simhash, tokenstore, warc
+from . import bpe, chat, hosts, htmlmain, langid, latent, rotcodes, simhash, tokenstore, warc
 from .scratch import Scratch, read_table
 
 
@@ -65,6 +65,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "op6"), min_bytes=0))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Scratch(spark, "op7"))
+
+
 _FIVE = " + ".join(f"{1 << (4 - b)} * cast(substr(bits, 5 * i + {b + 1}, 1) AS integer)" for b in range(5))
 OP6_SQL = f"""
 WITH p AS (
@@ -143,6 +147,7 @@ def queries() -> dict:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_warc_archive": op6_warc_archive,
+        "op7_decontamination": op7_decontamination,
         "op8_url_filter": op8_url_filter,
         "op9_bpe_coding": op9_bpe_coding,
         "op10_html_extraction": op10_html_extraction,
