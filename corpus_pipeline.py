@@ -30,10 +30,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    others = tuple(c for c in columns if c not in ("doc_id", "text"))
-    judged = langid.predict(docs, model, "doc_id", (*others, "text"))
+    # other columns go under names of our own: theirs may clash with the prediction's
+    own = {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in columns))
+    judged = langid.predict(plain, model, "doc_id", tuple(own[c] for c in columns if c != "doc_id"))
     kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*columns)
+    return kept.select(*(F.col(own[c]).alias(c) for c in columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str, keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = batch.column(len(columns)).fill_null("").to_pylist()
+            texts = batch.column(at_text).fill_null("").to_pylist()
             langs, scores = [], []
             start = 0
             while start < len(texts):
@@ -260,8 +260,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str, keep: tuple[str,
                 start = stop
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
-    source = docs.select(*columns, "text")
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    source = docs.select(*columns, *(() if "text" in columns else ("text",)))
+    at_text = source.columns.index("text")
+    schema = T.StructType([*source.schema.fields[: len(columns)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema)
 
 
