@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .wordstream import CACHE_PIECES, WordEncoder, text_slices
+from .wordstream import WordEncoder, text_slices
 
 # The white space and the pre-token pattern of this kind of tokenizer.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -40,6 +40,10 @@ def byte_characters() -> list[str]:
     return [c for _, c in sorted((table | {b: chr(256 + i) for i, b in enumerate(hidden)}).items())]
 
 
+#: Distinct fragments whose ids an encoder remembers; beyond, it starts anew.
+CACHE_FRAGMENTS = 200_000
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for one tokenizer file."""
 
@@ -65,6 +69,7 @@ class ForcedBoundaryBPE:
         self._pretokens = regex.compile(_PRETOKEN).findall
         self._folded = regex.compile(rf"[{_SPACE}]+")
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._path, self._byte_of, self._library = path, byte_of, None
         self._fragments: dict[tuple[bytes, bool], list[int]] = {}
 
     def cuts(self, raw: bytes) -> list[int]:
@@ -113,26 +118,36 @@ class ForcedBoundaryBPE:
                     heappush(heap, (m, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def _pretoken(self, piece: str) -> list[int]:
-        raw = piece.encode()
+    def _pretoken(self, raw: bytes) -> list[int]:
         out: list[int] = []
         start = 0
         for stop in [*self.cuts(raw), len(raw)]:
             key = (raw[start:stop], stop == len(raw))
             ids = self._fragments.get(key)
             if ids is None:
-                if len(self._fragments) > CACHE_PIECES:
+                if len(self._fragments) > CACHE_FRAGMENTS:
                     self._fragments.clear()
                 ids = self._fragments[key] = self._merge(*key)
             out += ids
             start = stop
         return out
 
+    def _newer(self, text: str) -> list[bytes]:
+        """Pre-tokens of a text with characters that Python's Unicode tables lack: their classes and cases are the library's."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        shown = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [bytes(self._byte_of[c] for c in piece) for piece, _ in shown]
+
     def _plain(self, text: str) -> list[int]:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return [i for raw in self._newer(text) for i in self._pretoken(raw)]
         text = self._folded.sub(" ", unicodedata.normalize("NFC", text))
         # each character by itself: str.lower() looks at the neighbours of a capital sigma
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return [i for p in self._pretokens(text) for i in self._pretoken(p)]
+        return [i for p in self._pretokens(text) for i in self._pretoken(p.encode())]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as add_special_tokens=False gives them."""

@@ -1,15 +1,16 @@
-"""Batch-wise tokenising of texts through their distinct words.
+"""Batch-wise tokenising of texts through their distinct words and pieces.
 
 Both byte-pair operators work on words cut at ASCII white space, a subset of
-what the tokenizer's own pre-tokenizer cuts at, so ids of words concatenate to
-ids of texts. Arrow finds the distinct words of a batch; each is encoded once;
-numpy lays the ids of all occurrences out. Memory is bounded by ``BATCH_CHARS``
-of text at a time (or one text, where that is longer) and by ``CACHE_PIECES``.
+what the tokenizer's own pre-tokenizer cuts at, and on pieces cut where letters
+meet other characters, so ids of pieces concatenate to ids of texts. Arrow
+finds the distinct words of a batch and their distinct pieces; a piece is
+encoded once per worker; numpy lays the ids of all occurrences out. Memory is
+bounded by ``BATCH_CHARS`` of text at a time (or one text, where that is
+longer) and by ``CACHE_PIECES``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import repeat
 
@@ -17,16 +18,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are taken together until they hold so many characters.
-BATCH_CHARS = 10_000_000
-#: Distinct words and pieces whose ids a Python worker remembers; beyond, it starts anew.
-CACHE_WORDS = 900_000
-CACHE_PIECES = 300_000
+#: Texts are taken together until they hold so many bytes.
+BATCH_CHARS = 8_000_000
+#: Distinct pieces whose ids a Python worker remembers; beyond, it starts anew.
+CACHE_PIECES = 1_200_000
 
 # A word of these characters alone is its own NFC form and holds no contraction
 # and no special token, so a letter next to a non-letter is a sure border.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!#-&(-;=?-@\[-`{}~]+").fullmatch
-_PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+").findall
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ!#-&(-;=?-@\[-`{}~]+$"
+_PIECE = r"([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+)"
+
+
+def ragged_take(flat: np.ndarray, first: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[first[r] : first[r] + n[r]] for r in rows, end to end, and where each ends."""
+    n = n[rows]
+    ends = np.cumsum(n)
+    at = np.repeat(first[rows] - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at], ends
 
 
 class WordEncoder:
@@ -34,47 +43,46 @@ class WordEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], Sequence[Sequence[int]]]):
         self._encode = encode_pieces
-        self._pieces: dict[str, Sequence[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self._row: dict[str, int] = {}
         self._ids = np.empty(0, np.uint32)
+        self._n = np.empty(0, np.int64)
         self._first = np.empty(0, np.int64)
-        self._counts = np.empty(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Append the ids of words not met before."""
-        cut = [_PIECES(w.lower()) if _PLAIN(w) else (w,) for w in words]
-        known = self._pieces
-        new = list({p for ps in cut for p in ps if p not in known})
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list({p for ps in cut for p in ps})
-        known.update(zip(new, self._encode(new)))
-        flat: list[int] = []
-        ends = np.empty(len(words), np.int64)
-        for i, ps in enumerate(cut):
-            for p in ps:
-                flat += known[p]
-            ends[i] = len(flat)
-        counts = np.diff(ends, prepend=0)
-        self._row.update(zip(words, range(len(self._row), len(self._row) + len(words))))
-        self._first = np.concatenate((self._first, len(self._ids) + ends - counts))
-        self._counts = np.concatenate((self._counts, counts))
-        self._ids = np.concatenate((self._ids, np.array(flat, np.uint32)))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        rows = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """Rows of distinct pieces, new ones encoded."""
+        rows = np.fromiter(map(self._row.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            if len(self._row) + len(missing) > CACHE_WORDS:
+            if len(self._row) + len(missing) > CACHE_PIECES:
                 self._forget()
-                missing = np.arange(len(words))
-            rows[missing] = np.arange(len(self._row), len(self._row) + len(missing))
-            self._learn([words[i] for i in missing])
+                missing = np.arange(len(pieces))
+            new = [pieces[i] for i in missing.tolist()]
+            rows[missing] = np.arange(len(self._row), len(self._row) + len(new))
+            self._row.update(zip(new, rows[missing].tolist()))
+            coded = self._encode(new)
+            n = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter((i for one in coded for i in one), np.uint32, int(n.sum()))
+            self._first = np.concatenate((self._first, len(self._ids) + np.cumsum(n) - n))
+            self._n = np.concatenate((self._n, n))
+            self._ids = np.concatenate((self._ids, ids))
         return rows
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and where each word's end."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        mixed = pc.and_not(plain, pc.utf8_is_alpha(words))
+        text = pc.if_else(plain, pc.utf8_lower(words), words)
+        text = pc.replace_with_mask(text, mixed, pc.replace_substring_regex(text.filter(mixed), _PIECE, r"\1 "))
+        parts = pc.ascii_split_whitespace(text)
+        offsets = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = ragged_take(self._ids, self._first, self._n, rows[coded.indices.to_numpy(zero_copy_only=False)])
+        return ids, np.concatenate(([0], ends))[offsets[1:] - offsets[0]]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end to end, and the number of ids of each text.
 
@@ -83,23 +91,19 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         borders = split.offsets.to_numpy()
         coded = split.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
-        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        rows = rows[coded.indices.to_numpy(zero_copy_only=False)]
-        n = self._counts[rows]
-        ends = np.cumsum(n)
-        at = np.repeat(self._first[rows] - (ends - n), n)
-        at += np.arange(len(at))
-        upto = np.concatenate(([0], ends))[borders - borders[0]]
-        return self._ids[at], np.diff(upto)
+        flat, word_ends = self._words(coded.dictionary)
+        n = np.diff(word_ends, prepend=0)
+        ids, ends = ragged_take(flat, word_ends - n, n, coded.indices.to_numpy(zero_copy_only=False))
+        return ids, np.diff(np.concatenate(([0], ends))[borders - borders[0]])
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about BATCH_CHARS bytes of text, a row at least."""
+def text_slices(texts: pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text, a row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + BATCH_CHARS, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield start, stop
         start = stop
