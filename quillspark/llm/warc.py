@@ -124,7 +124,11 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, rotat
     size, is trained on the driver from at most SAMPLE_RECORDS records, those
     with the smallest digests.
     """
-    sample = pages.filter("html is not null").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.sha1("html").alias("sha")).orderBy("sha", "page_id", "url").limit(SAMPLE_RECORDS)
+    # about twice the sample by its digest first, so that tasks do not each send a whole one
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count()))
+    place = F.conv(F.substring("sha", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    known = pages.filter("html is not null").select("page_id", "url", F.sha1("html").alias("sha"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    sample = known.filter(place < share).orderBy("sha", "page_id", "url").limit(SAMPLE_RECORDS)
     records = [build_record(r["page_id"], r["url"], r["html"].encode()) for r in sample.collect()]
     dictionary = train_dictionary(records)
     folder = scratch.path("archives")
