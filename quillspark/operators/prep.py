@@ -72,18 +72,22 @@ def contaminated_prefix(test: DataFrame, train: DataFrame, prefix: int, text: st
 def contaminated_passage(items: DataFrame, docs: DataFrame, prefix: int, id_col: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(item_id, n_docs): in how many documents the first characters of an item occur anywhere.
 
-    Passages are looked up by their first five words: documents' word n-grams
-    meet the items' in a hash join, and only hits are compared as text.
+    Passages are looked up by five of their first words (the second to the
+    sixth: a document may run into the first): document word n-grams, without
+    the texts, meet the items' in a hash join, and only the documents hit are
+    compared as text. Items with fewer words are compared with all documents.
     """
     words = 5
     keyed = items.select(F.col(id_col).alias("item"), F.substring(text, 1, prefix).alias("head"))
-    keyed = keyed.withColumn("gram", F.array_join(F.slice(tokens(F.col("head")), 2, words), " "))
-    split = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"), tokens(F.col(text)).alias("t"))
-    last = F.greatest(F.size("t") - words + 1, F.lit(0))
+    keyed = keyed.withColumns({"gram": F.array_join(F.slice(tokens(F.col("head")), 2, words), " "), "short": F.size(tokens(F.col("head"))) < words + 2})
+    bodies = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
     grams = F.expr(f"transform(sequence(1, greatest(size(t) - {words} + 1, 1)), i -> array_join(slice(t, i, {words}), ' '))")
-    exploded = split.filter(last > 0).select("doc", "body", F.explode(F.array_distinct(grams)).alias("gram"))
-    hits = exploded.join(keyed, "gram").filter(F.contains("body", "head"))
-    return hits.groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
+    split = bodies.select("doc", tokens(F.col("body")).alias("t")).filter(F.size("t") >= words)
+    exploded = split.select("doc", F.explode(F.array_distinct(grams)).alias("gram"))
+    hits = exploded.join(keyed.filter("not short"), "gram").select("doc", "item", "head").distinct()
+    found = hits.join(bodies, "doc").filter(F.contains("body", "head")).select("item", "doc")
+    few = bodies.join(keyed.filter("short"), F.contains("body", "head")).select("item", "doc")
+    return found.union(few).groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
 
 
 def context_variants(df: DataFrame, docs: str, counts: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
