@@ -89,3 +89,13 @@ def runs_correct(facts: DataFrame) -> DataFrame:
     """Which runs are right about each question, as text in run order."""
     runs = F.array_sort(F.collect_list(F.when(F.col("is_correct"), F.col("run_id"))))
     return facts.groupBy("question_no").agg(F.concat_ws(",", F.transform(runs, lambda r: r.cast("string"))).alias("runs"), F.size(runs).cast("long").alias("n_right"))
+
+
+def percentile_interval(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """The interval between the 2.5th and the 97.5th percentile, interpolated."""
+    return df.groupBy(*by).agg(F.round(F.percentile(value, 0.025), 6).alias("low"), F.round(F.percentile(value, 0.975), 6).alias("high"))
+
+
+def split_answer_context(df: DataFrame, text: str) -> DataFrame:
+    """answer and context of texts ``<answer> a <context> c``."""
+    return df.withColumns({"answer": F.regexp_extract(text, r"(?s)^<answer> (.*) <context> ", 1), "context": F.regexp_extract(text, r"(?s) <context> (.*)$", 1)})

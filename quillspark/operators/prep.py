@@ -42,25 +42,56 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, train:
     return df.withColumn("split", split)
 
 
-def sequential_split(df: DataFrame, order: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """The same by position in ``order``, without one task ordering all rows.
+def positions(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """``df`` with each row's ``place`` from 1 in ``order``, and the number of rows; no task orders all rows.
 
-    Rows are range-partitioned; a row's position is its place in its partition
-    plus the sizes of the partitions before it.
+    Rows are range-partitioned; a row's place is that in its partition plus
+    the sizes of the partitions before it, one number per partition.
     """
-    from pyspark.sql import types as T
-
     spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
     spread = spread.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = {r[0]: r[1] for r in spread.groupBy("_part").count().collect()}
-    total, before, at = sum(sizes.values()), {}, 0
+    before, at = {}, 0
     for part in sorted(sizes):
         before[part] = at
         at += sizes[part]
     base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
-    place = F.col("_place") + base + 1
+    return spread.withColumn("place", F.col("_place") + base + 1).drop("_part", "_place"), at
+
+
+def sequential_split(df: DataFrame, order: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
+    """``split`` by position in ``order``."""
+    placed, total = positions(df, order)
+    place = F.col("place")
     split = F.when(place <= int(total * train + 1e-9), "train").when(place <= int(total * (train + valid) + 1e-9), "valid").otherwise("test")
-    return spread.withColumn("split", split).drop("_part", "_place")
+    return placed.withColumn("split", split).drop("place")
+
+
+def row_range(df: DataFrame, order: str, start: int, stop: int) -> DataFrame:
+    """Rows start to stop - 1 in ``order``, counted from 0."""
+    placed, _ = positions(df, order)
+    return placed.filter(F.col("place").between(start + 1, stop)).drop("place")
+
+
+def drop_incomplete(df: DataFrame, docs: str, order: str) -> DataFrame:
+    """All rows but the last in ``order`` if that has no documents."""
+    last = df.orderBy(F.desc(order)).limit(1).filter((F.size(docs) <= 0) | F.col(docs).isNull()).select(order)
+    return df.join(last, order, "left_anti")
+
+
+def training_lines(ranked: DataFrame, text: str = "source") -> DataFrame:
+    """(item_id, position, doc_id, line): a question's documents as lines of a context-training log."""
+    line = F.concat(F.lit("[question index:]"), F.col("query_id").cast("string"), F.lit("\n[rag_doc:]"), (F.col("rank") - 1).cast("string"), F.lit(":"), F.col(text))
+    return ranked.select(F.col("query_id").alias("item_id"), (F.col("rank") - 1).alias("position"), "doc_id", line.alias("line"))
+
+
+def document_sets(ranked: DataFrame, sets: list[list[int]]) -> DataFrame:
+    """(query_id, variant, docs): for each set of ranks, the ids of the documents that have them."""
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("d"))
+    picks = F.array(*[F.struct(F.lit(i).alias("variant"), F.array(*map(F.lit, s)).cast("array<int>").alias("ranks")) for i, s in enumerate(sets)])
+    each = listed.withColumn("p", F.explode(picks))
+    docs = F.transform(F.filter("d", lambda x: F.array_contains(F.col("p.ranks"), x["rank"])), lambda x: x["doc_id"].cast("string"))
+    return each.select("query_id", F.col("p.variant").alias("variant"), F.array_join(docs, ",").alias("docs"))
 
 
 def contaminated_prefix(test: DataFrame, train: DataFrame, prefix: int, text: str = "text") -> DataFrame:

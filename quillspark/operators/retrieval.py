@@ -104,3 +104,24 @@ def concat_context(ranked: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, context): the documents' texts in rank order, each followed by an empty line."""
     listed = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("text"))))
     return ranked.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["text"], F.lit("\n\n"))), "").alias("context"))
+
+
+def score_pairs(candidates: DataFrame, queries: DataFrame, docs: DataFrame, model) -> DataFrame:
+    """(query_id, doc_id, score) by a model: a function that takes lists of query and document texts and returns scores.
+
+    ``model`` is a factory that a task calls once, so weights are loaded once
+    per task; texts go to it by Arrow batch. ``queries`` is (query_id, query)
+    and ``docs`` (doc_id, text).
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = model()
+        for query, text in batches:
+            yield pd.Series(score(query.tolist(), text.tolist()), dtype="float64")
+
+    pairs = candidates.select("query_id", "doc_id").join(queries, "query_id").join(docs, "doc_id")
+    return pairs.select("query_id", "doc_id", scored("query", "text").alias("score"))

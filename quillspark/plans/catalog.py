@@ -112,9 +112,13 @@ def bm25_batch_topk(spark, sf_dir):
     return search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 10, documents=docs)
 
 
-@query(f"WITH {_BM}, top AS ({_top(10)}) SELECT * FROM top WHERE query_id = 0")
+_ONE_QUERY = "All rights reserved: this work is licensed under the terms of the license"
+
+
+@query(f"WITH {_TF}, {_QT.replace('FROM benchmark', 'FROM (SELECT 0::bigint AS item_id, ' + repr(_ONE_QUERY) + ' AS text)')}, {_scored(_BM25 + ' * qtf')}, top AS ({_top(10)}) SELECT * FROM top")
 def bm25_search(spark, sf_dir):
-    return search.search(_index(spark, sf_dir), _questions(spark, sf_dir).filter("query_id = 0"), 10)
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(_ONE_QUERY).alias("text"))
+    return search.search(_index(spark, sf_dir), asked, 10)
 
 
 @query(f"WITH {_BM}, top AS ({_top(5)}) SELECT * FROM top")
@@ -312,14 +316,15 @@ def choices_format(spark, sf_dir):
     return _mcq(spark, sf_dir).select("item_id", text.format_choices(F.col("choices")).alias("choices"), text.format_choices(F.col("choices"), F.coalesce("answer_key", F.lit(""))).alias("masked"))
 
 
-@query(f"""WITH {_MCQ}, {_BM}, top AS ({_top(2)}), ctx AS (SELECT query_id, string_agg(substr(text, 1, 80) || chr(10) || chr(10), '' ORDER BY rank) AS context FROM top JOIN documents ON top.doc_id = documents.doc_id WHERE query_id % 2 = 0 GROUP BY query_id)
+@query(f"""WITH {_MCQ}, {_BM}, top AS ({_top(2)}), ctx AS (SELECT query_id, string_agg(text || chr(10) || chr(10), '' ORDER BY rank) AS context FROM top JOIN documents ON top.doc_id = documents.doc_id WHERE score > 100 GROUP BY query_id)
 SELECT item_id, CASE WHEN coalesce(context, '') = '' THEN chr(10) || question || chr(10) || chr(10) || {_CHOICES.format('o')} || chr(10)
   ELSE chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || {_CHOICES.format('o')} || chr(10) END AS prompt
 FROM mcq LEFT JOIN ctx ON item_id = query_id""")
 def prompt_build(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("text"))
-    asked = _questions(spark, sf_dir).filter("query_id % 2 = 0")
-    context = retrieval.concat_context(search.search(_index(spark, sf_dir), asked, 2, documents=docs)).withColumnRenamed("query_id", "item_id")
+    # no document of some questions passes the threshold: theirs is the prompt without context
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = retrieval.over_threshold(search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 2, documents=docs), 100.0)
+    context = retrieval.concat_context(found).withColumnRenamed("query_id", "item_id")
     joined = _mcq(spark, sf_dir).join(context, "item_id", "left")
     return joined.select("item_id", text.build_prompt(F.col("context"), F.col("question"), text.format_choices(F.col("choices"))).alias("prompt"))
 
@@ -596,10 +601,10 @@ def tagged_doc_scan(spark, sf_dir):
     return readers.tagged_documents(spark, _round_trip(spark, tagged_export(spark, sf_dir).select("record"), "tagged"))
 
 
-@query(f"WITH {FACTS_SQL} SELECT run_id::bigint AS run_no, question_no, answer, correct_answer, is_correct, 'd' || question_no AS doc, round(score, 3) AS score FROM facts WHERE run_id < 2")
+@query(f"WITH {FACTS_SQL} SELECT run_id::bigint AS run_no, question_no, answer, correct_answer, is_correct, 'd' || question_no AS doc, round(score, 3) AS score FROM facts")
 def log_parse(spark, sf_dir):
     stamp = "2025-01-01 00:00:00,000 - INFO - "
-    rows = facts(spark, sf_dir).filter("run_id < 2").withColumn("n", F.expr("row_number() over (partition by run_id order by question_no)"))
+    rows = facts(spark, sf_dir).withColumn("n", F.expr("row_number() over (partition by run_id order by question_no)"))
     rag = F.format_string(stamp + "RAG data: [{'docId': 'd%d', 'BM25_score': %.1f, 'MonoT5_score': %.3f}]", "question_no", "bm25_score", "score")
     asked = F.format_string(stamp + "question %d/99 num:%d answer:%s correct_answer:%s %s", "n", "question_no", "answer", "correct_answer", F.initcap(F.col("is_correct").cast("string")))
     body = rows.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(rag, F.lit("\n"), asked).alias("lines")))), lambda x: x["lines"]), "\n").alias("body"))
@@ -609,7 +614,7 @@ def log_parse(spark, sf_dir):
     # the question's id is in its document's name
     doc = F.col("rag")[0]["docId"]
     named = found.select("answer", "correct_answer", "is_correct", doc.alias("doc"), F.round(F.col("rag")[0]["MonoT5_score"], 3).alias("score"), F.expr("cast(substring(rag[0].docId, 2) as bigint)").alias("question_no"))
-    keyed = facts(spark, sf_dir).filter("run_id < 2").select("run_id", "question_no", F.round("score", 3).alias("score"))
+    keyed = facts(spark, sf_dir).select("run_id", "question_no", F.round("score", 3).alias("score"))
     return named.join(keyed, ["question_no", "score"]).select(F.col("run_id").cast("long").alias("run_no"), "question_no", "answer", "correct_answer", "is_correct", "doc", "score")
 
 
@@ -618,9 +623,9 @@ def first_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").orderBy("doc_id").limit(100).select("doc_id", "source", "lang")
 
 
-@query("SELECT item_id, '## Question: ' || substr(text, 1, 40) || chr(10) || '## Answer: ' || item_id AS example FROM (SELECT * FROM benchmark ORDER BY md5('7:' || item_id), item_id LIMIT 5)")
+@query("SELECT item_id, '## Question: ' || text || chr(10) || '## Answer: ' || item_id AS example FROM (SELECT * FROM benchmark ORDER BY md5('7:' || item_id), item_id LIMIT 5)")
 def few_shot_examples(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("question"), F.col("item_id").cast("string").alias("answer"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.col("item_id").cast("string").alias("answer"))
     return prep.few_shot(items, 5, 7, "item_id", "question", "answer")
 
 
@@ -677,3 +682,38 @@ def union_distinct_semi(spark, sf_dir):
     both = docs.filter("n_chars <= 5000").unionByName(docs.filter("n_chars > 5000"))
     keys = docs.filter("n_chars > 5000").select("lang", "source").distinct()
     return both.groupBy("lang", "source").agg(F.count("*").alias("n")).join(keys, ["lang", "source"], "left_semi")
+
+
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS place FROM documents) SELECT doc_id, source FROM r WHERE place BETWEEN 11 AND 60")
+def row_range(spark, sf_dir):
+    return prep.row_range(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 10, 60)
+
+
+@query(f"WITH {FACTS_SQL} SELECT answer, count(*) AS n, count(*) FILTER (is_correct) AS n_correct FROM facts GROUP BY answer")
+def class_counts(spark, sf_dir):
+    return facts(spark, sf_dir).groupBy("answer").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT run_id, round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.975), 6) AS high FROM facts GROUP BY run_id")
+def percentile_interval(spark, sf_dir):
+    return evaluation.percentile_interval(facts(spark, sf_dir), "score", "run_id")
+
+
+@query("SELECT item_id, regexp_extract(t, '(?s)^<answer> (.*) <context> ', 1) AS answer, regexp_extract(t, '(?s) <context> (.*)$', 1) AS context FROM (SELECT item_id, '<answer> ' || item_id || ' <context> ' || text AS t FROM benchmark)")
+def delimited_answers(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<answer> "), F.col("item_id").cast("string"), F.lit(" <context> "), F.col("text")).alias("t"))
+    return evaluation.split_answer_context(rows, "t").select("item_id", "answer", "context")
+
+
+@query(f"""WITH {_BM}, top AS ({_top(3)}) SELECT query_id AS item_id, rank - 1 AS position, top.doc_id, '[question index:]' || query_id || chr(10) || '[rag_doc:]' || (rank - 1) || ':' || source AS line FROM top JOIN documents ON top.doc_id = documents.doc_id""")
+def training_questions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 3, documents=docs)
+    return prep.training_lines(found)
+
+
+@query(f"""WITH {_BM}, top AS ({_top(3)}), v(variant, picks) AS (VALUES (0, []::int[]), (1, [1]), (2, [2]), (3, [3]), (4, [1, 2, 3]))
+SELECT query_id, variant, coalesce(string_agg(doc_id::varchar, ',' ORDER BY rank) FILTER (list_contains(picks, rank)), '') AS docs FROM top, v GROUP BY query_id, variant""")
+def document_set_variants(spark, sf_dir):
+    found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 3)
+    return prep.document_sets(found, [[], [1], [2], [3], [1, 2, 3]])

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.operators import analysis, evaluation, index, prep, retrieval, search, vectors
-from quillspark.sources import readers
+from quillspark.sources import readers, sinks
 from quillspark.streaming import maintenance
 
 WORDS = ["pain", "fever", "cough", "the", "rare", "dose"]
@@ -206,3 +206,31 @@ def test_streamed_index_equals_the_batch_one(spark, tmp_path):
     got = spark.read.parquet(*map(str, sorted(tmp_path.glob("out/batch=*/postings"))))
     rows = lambda df: sorted(map(tuple, df.select("term", "doc_id", "tf").collect()))
     assert rows(got) == rows(index.build(d).postings)
+
+
+def test_sinks_write_what_readers_read(spark, tmp_path):
+    df = spark.createDataFrame([("d1", "a <b> c"), ("d2", "x")], "doc_no string, content string")
+    sinks.write_tagged(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, readers.tagged_documents(spark, str(tmp_path / "t")).collect())) == [("d1", "a <b> c"), ("d2", "x")]
+    lines = spark.sql("select timestamp'2025-01-01 00:00:00' as ts, 'INFO' as level, 'use_RAG: True' as message")
+    sinks.append_log(lines, str(tmp_path / "l"))
+    assert readers.log_lines(spark, str(tmp_path / "l")).filter("level = 'INFO'").first()["message"] == "use_RAG: True"
+    sinks.append_run(df, str(tmp_path / "r"), "a")
+    sinks.append_run(df.limit(1), str(tmp_path / "r"), "b")
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 3
+    sinks.write_results_json(df, str(tmp_path / "j"), model="m")
+    assert spark.read.json(str(tmp_path / "j")).filter("model = 'm'").count() == 2
+
+
+def test_the_last_row_without_documents_is_dropped(spark):
+    df = spark.createDataFrame([(1, ["a"]), (2, []), (3, [])], "n int, docs array<string>")
+    assert sorted(r["n"] for r in prep.drop_incomplete(df, "docs", "n").collect()) == [1, 2]
+    assert prep.drop_incomplete(df.filter("n = 1"), "docs", "n").count() == 1
+
+
+def test_model_scores_by_batch(spark):
+    r = ranked(spark, [2.0, 1.0])
+    asked_, texts = spark.createDataFrame([(0, "ab")], "query_id long, query string"), spark.createDataFrame([(0, "abc"), (1, "x")], "doc_id long, text string")
+    model = lambda: lambda queries, docs: [float(len(set(q) & set(d))) for q, d in zip(queries, docs)]
+    got = {x["doc_id"]: x["score"] for x in retrieval.score_pairs(r, asked_, texts, model).collect()}
+    assert got == {0: 2.0, 1: 0.0}
