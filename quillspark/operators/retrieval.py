@@ -6,8 +6,10 @@ Candidates are rows (query_id, doc_id, score, rank). A scorer is a DataFrame
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,8 +81,6 @@ def pairwise(candidates: DataFrame, strength: str = "strength") -> DataFrame:
 
 def listwise(candidates: DataFrame, permute, window: int = 3) -> DataFrame:
     """Re-rank each query's list by a function (query_id, doc_ids) -> permutation, in windows from the end to the front."""
-    import pandas as pd
-
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         docs = rows.sort_values("rank")["doc_id"].tolist()
         step = max(1, window // 2)
@@ -113,10 +113,6 @@ def score_pairs(candidates: DataFrame, queries: DataFrame, docs: DataFrame, mode
     per task; texts go to it by Arrow batch. ``queries`` is (query_id, query)
     and ``docs`` (doc_id, text).
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         score = model()
