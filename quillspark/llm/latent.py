@@ -2,9 +2,9 @@
 
 Passages of all documents are TF-IDF vectors over the benchmark's words, each
 a column of its own, and hashed columns for all other words. A distributed
-randomised SVD (a sketch and one power iteration, both sums over all passages)
-gives the corpus' leading directions; the benchmark's own are added, so that
-each item lies in the latent space. Document windows of an item's length whose
+randomised SVD (a sketch summed over all passages, then the Nystrom step on the
+driver) gives the corpus' leading directions; the benchmark's own are added, so
+that each item lies in the latent space. Document windows of an item's length whose
 cosine with it reaches a threshold are candidates. A longest common
 subsequence, and a check for the item's answer where that is not clear, decide.
 """
@@ -12,17 +12,17 @@ subsequence, and a check for the item's answer where that is not clear, decide.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .wordstream import WordEncoder, text_slices
+from .wordstream import ragged_take, text_slices
 
 
 @dataclass(frozen=True)
@@ -31,29 +31,52 @@ class Decontamination:
 
     hashed: int = 8192  #: columns for words that the benchmark does not have
     passage: int = 32  #: words in a passage of the decomposition
-    rank: int = 48  #: leading directions of the corpus
-    item_rank: int = 192  #: directions of the benchmark in a block of items at most
+    rank: int = 20  #: leading directions of the corpus
+    latent: float = 0.2  #: weight of the cosine in the latent space
     step: int = 8  #: words between the starts of windows
-    cosine: float = 0.5  #: of a candidate window at least
+    cosine: float = 0.5  #: weighted cosine of a candidate window at least
     surely: float = 0.8  #: share of an item's words in the common subsequence that settles it
     perhaps: float = 0.6  #: share that settles it where the answer is there too
     answer_words: int = 8  #: the answer is an item's last sentence, or so many last words of it
     answer_share: float = 0.8  #: share of the answer's words that must be there in order
-    block_items: int = 1024  #: items searched for in one pass
+    block_items: int = 256  #: items searched for in one pass
     reducers: int = 8  #: partial sums are combined to so many before the driver
 
 
-_words_of = re.compile(r"[^\W\d_]+|\d").findall
+#: Words that are turned into dense rows at a time.
+SLICE_WORDS = 32_768
+
 _sentences = re.compile(r"[.!?。؟]+\s*")
 
 
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, all texts as indexes into them, their number per text.
+
+    Words are lower-cased runs of letters and digits. Returned are the words,
+    the index of each word of all texts end to end, and the count per text.
+    """
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    borders = split.offsets.to_numpy()
+    coded = split.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
+    cleaned = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}\p{N}]+", " ")
+    parts = pc.ascii_split_whitespace(cleaned)
+    words, offsets = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    upto = np.concatenate(([0], np.cumsum(full)))
+    words, offsets = words.filter(pa.array(full)), upto[offsets - offsets[0]]
+    chosen = coded.indices.to_numpy(zero_copy_only=False)
+    index, ends = ragged_take(np.arange(len(words)), offsets[:-1], np.diff(offsets), chosen)
+    return words, index, np.diff(np.concatenate(([0], ends))[borders - borders[0]])
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, and digits one by one."""
-    return _words_of(text.lower())
+    """Lower-cased runs of letters and digits."""
+    words, index, _ = word_lists(pa.array([text]))
+    return words.take(pa.array(index)).to_pylist()
 
 
 def answer_of(text: str, n: int) -> list[str]:
-    """Words of the last sentence that has any, the last ``n`` of them at most; all of a one-sentence text's last n."""
+    """Last words, n at most, of the last sentence that has three; of the whole text if none has."""
     for sentence in reversed(_sentences.split(text)):
         words = words_of(sentence)
         if len(words) >= 3:
@@ -65,56 +88,67 @@ class Columns:
     """The column of each word: one of its own for benchmark words, a hashed one for others."""
 
     def __init__(self, words: list[str], hashed: int):
-        self.own = {w: i for i, w in enumerate(words)}
+        self.own = pa.array(words, pa.large_string())
         self.hashed = hashed
         self.width = len(words) + hashed
-
-    def of(self, word: str) -> int:
-        column = self.own.get(word)
-        return len(self.own) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.hashed if column is None else column
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [[self.of(w) for w in words_of(p)] for p in pieces]
-
-
-def passages(columns: np.ndarray, counts: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sparse counts (row, column, count) of the documents' passages, and how many passages there are."""
+        self.stored = "<u2" if self.width <= 1 << 16 else "<u4"
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Columns of an array of words."""
+        words = words.cast(pa.large_string())
+        at = pc.index_in(words, value_set=self.own).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        sizes = np.diff(offsets)
+        if offsets[-1] > offsets[0]:
+            data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32)
+            place = np.arange(len(data), dtype=np.uint32) - np.repeat((offsets[:-1] - offsets[0]).astype(np.uint32), sizes)
+            mixed = (data + np.uint32(1)) * (place * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA77))
+            mixed ^= mixed >> np.uint32(15)
+            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+            spread = (upto[offsets[1:] - offsets[0]] - upto[offsets[:-1] - offsets[0]]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            at = np.where(at >= 0, at, len(self.own) + (spread % np.uint64(self.hashed)).astype(np.int64))
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of all words of the texts, end to end, and their number per text."""
+        words, index, counts = word_lists(texts)
+        return self.of(words)[index] if len(words) else index, counts
+
+    def of_text(self, words: list[str]) -> list[int]:
+        return self.of(pa.array(words, pa.string())).tolist()
+
+
+def passage_rows(counts: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """The passage of each word of documents with so many words, and how many passages there are."""
     starts = np.cumsum(counts) - counts
     per_doc = -(-counts // size)
-    inside = np.arange(len(columns)) - np.repeat(starts, counts)
-    row = np.repeat(np.cumsum(per_doc) - per_doc, counts) + inside // size
-    keys, n = np.unique(row * width + columns, return_counts=True)
-    return keys // width, keys % width, n, int(per_doc.sum())
-
-
-def weighted(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, total: int, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF values of sparse counts, rows of length one."""
-    value = n * idf[columns]
-    norm = np.sqrt(np.bincount(rows, value * value, total))
-    return (value / norm[rows]).astype(np.float32)
+    inside = np.arange(int(counts.sum())) - np.repeat(starts, counts)
+    return np.repeat(np.cumsum(per_doc) - per_doc, counts) + inside // size, int(per_doc.sum())
 
 
 def _staged(tokens: Columns, size: int):
     """(kind 0, id, columns) of each document, then (kind 1, null, passages per column, and their number last)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokens.encode_pieces)
         frequency = np.zeros(tokens.width + 1, np.int64)
         for batch in batches:
             for a, b in text_slices(batch.column(1)):
-                columns, counts = coder.encode(batch.column(1).slice(a, b - a))
-                _, seen, _, total = passages(columns.astype(np.int64), counts, size, tokens.width)
-                frequency[:-1] += np.bincount(seen, minlength=tokens.width)
+                columns, counts = tokens.encode(batch.column(1).slice(a, b - a))
+                rows, total = passage_rows(counts, size)
+                keys = rows * tokens.width + columns
+                keys = np.sort(keys.astype(np.uint32) if total * tokens.width < 1 << 32 else keys)
+                frequency[:-1] += np.bincount(keys[np.flatnonzero(np.diff(keys, prepend=keys[:1] + 1))] % tokens.width, minlength=tokens.width)
                 frequency[-1] += total
-                ends = np.concatenate(([0], np.cumsum(counts))) * 4
-                data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(columns.astype("<u4"))])
+                stored = columns.astype(tokens.stored)
+                ends = np.concatenate(([0], np.cumsum(counts))) * stored.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(stored)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), data.cast(pa.binary())], ["kind", "id", "data"])
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([frequency.astype("<i8").tobytes()], pa.binary())], ["kind", "id", "data"])
 
     return run
 
 
-def _summed(df: DataFrame, kind: str, reducers: int) -> np.ndarray:
-    """The sum of the arrays in the one binary column, combined on executors first."""
+def _summed(df: DataFrame, kind: str, size: int, reducers: int) -> np.ndarray:
+    """The sum of the arrays in the one binary column, combined on executors first; zeros of no rows."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -125,37 +159,58 @@ def _summed(df: DataFrame, kind: str, reducers: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["data"])
 
     parts = [np.frombuffer(r[0], kind) for r in df.repartition(reducers).mapInArrow(add, "data binary").collect()]
-    return np.sum(parts, axis=0, dtype=np.float64 if "f" in kind else np.int64)
+    return np.sum([np.zeros(size, kind), *parts], axis=0, dtype=np.float64 if "f" in kind else np.int64)
+
 
+def _gram_times(shared, size: int, tokens_stored: str):
+    """One row: the task's part of A^T A Q, A being the TF-IDF matrix of all passages.
 
-def _gram_times(shared, size: int, width: int):
-    """One row: the task's part of A^T A Q, A being the TF-IDF matrix of all passages."""
+    A passage's row is scaled by the root of its words' summed squared idf.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, q = shared.value
-        total = np.zeros((width, q.shape[1]), np.float32)
+        idf, weighted = shared.value
+        total = np.zeros(weighted.shape, np.float32)
         for batch in batches:
-            for a, b in text_slices(batch.column(0)):
-                counts, columns = _joined(batch.column(0).slice(a, b - a))
-                rows, cols, n, n_rows = passages(columns, counts, size, width)
-                if not len(rows):
-                    continue
-                value = weighted(rows, cols, n, n_rows, idf)
+            for counts, columns in _slices(batch.column(0), tokens_stored):
+                rows, n_rows = passage_rows(counts, size)
                 firsts = np.flatnonzero(np.diff(rows, prepend=-1))
-                sketch = np.add.reduceat(q[cols] * value[:, None], firsts, axis=0)
-                by_column = np.argsort(cols, kind="stable")
-                cols = cols[by_column]
-                bounds = np.flatnonzero(np.diff(cols, prepend=-1))
-                total[cols[bounds]] += np.add.reduceat(sketch[rows[by_column]] * value[by_column, None], bounds, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["data"])
+                scale = 1 / np.add.reduceat(idf[columns] ** 2, firsts)
+                sketch = np.add.reduceat(weighted[columns], firsts, axis=0) * scale[:, None]
+                by_column = np.argsort(columns, kind="stable")
+                sorted_columns = columns[by_column]
+                bounds = np.flatnonzero(np.diff(sorted_columns.astype(np.int32), prepend=-1))
+                total[sorted_columns[bounds]] += np.add.reduceat(sketch[rows[by_column]], bounds, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([(total * idf[:, None]).astype("<f4").tobytes()], pa.binary())], ["data"])
 
     return run
 
 
-def _joined(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _joined(data: pa.Array, stored: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of columns per document, and all columns end to end."""
     parts = data.fill_null(b"").to_pylist()
-    counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    return counts, np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+    counts = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(stored).itemsize
+    return counts, np.frombuffer(b"".join(parts), stored)
+
+
+def _slices(data: pa.Array, stored: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_joined`` of about SLICE_WORDS words at a time, without empty slices."""
+    for a, b in text_slices(data, SLICE_WORDS * np.dtype(stored).itemsize):
+        counts, columns = _joined(data.slice(a, b - a), stored)
+        if len(columns):
+            yield counts, columns
+
+
+def leading_directions(gram: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Right singular directions of A from G = A^T A S and S, strongest first (the Nystrom step)."""
+    shift = 1e-6 * np.linalg.norm(gram)
+    gram = gram + shift * sketch
+    inner = sketch.T @ gram
+    strength, turn = np.linalg.eigh((inner + inner.T) / 2)
+    keep = strength > 1e-12 * max(strength.max(), 1e-300)
+    if not keep.any():  # no passages
+        return np.zeros((len(gram), 0), np.float32)
+    left, _, _ = np.linalg.svd(gram @ (turn[:, keep] / np.sqrt(strength[keep])), full_matrices=False)
+    return left.astype(np.float32)
 
 
 def common_subsequence(pattern: list, text: list) -> int:
@@ -173,6 +228,15 @@ def common_subsequence(pattern: list, text: list) -> int:
     return len(pattern) - row.bit_count()
 
 
+@dataclass(frozen=True)
+class Group:
+    """Items that are compared with windows of one length."""
+
+    span: int  #: window length in steps
+    items: np.ndarray
+    scores: np.ndarray  #: [column, item]: what a word adds to the inner product with the item
+
+
 @dataclass(frozen=True)
 class Items:
     """Prepared items of a block."""
@@ -180,32 +244,43 @@ class Items:
     ids: list
     words: list[list[int]]
     answers: list[list[int]]
-    latent: np.ndarray  #: [item, direction], rows of length one
-    basis: np.ndarray  #: [column, direction], times idf
+    groups: list[Group]  #: by window length, ascending
+    caps: np.ndarray  #: [column, group]: the most that a word adds to any item of the group
     idf2: np.ndarray
+    directions: np.ndarray  #: [column, direction], times idf
+    latent: np.ndarray  #: [item, direction], rows of length one
 
 
 def prepare(items: list[tuple[object, str]], tokens: Columns, idf: np.ndarray, corpus: np.ndarray, settings: Decontamination) -> Items:
-    """The latent space of a block of items and their places in it."""
-    words = [[tokens.of(w) for w in words_of(t)] for _, t in items]
-    answers = [[tokens.of(w) for w in answer_of(t, settings.answer_words)] for _, t in items]
+    """Tables for a block of items."""
+    words = [tokens.of_text(words_of(t)) for _, t in items]
+    answers = [tokens.of_text(answer_of(t, settings.answer_words)) for _, t in items]
     matrix = np.zeros((len(items), tokens.width), np.float32)
     for k, own in enumerate(words):
         np.add.at(matrix[k], own, idf[own])
     matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
-    used = np.unique(np.concatenate([np.array(w, np.int64) for w in words]))
-    _, strength, right = np.linalg.svd(matrix[:, used], full_matrices=False)
-    right = right[strength > 1e-4 * strength[0]][: settings.item_rank]
-    own = np.zeros((tokens.width, len(right)), np.float32)
-    own[used] = right.T
-    basis, _ = np.linalg.qr(np.concatenate((own, corpus), axis=1))
-    latent = matrix @ basis
+    latent = matrix @ corpus
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
-    return Items([i for i, _ in items], words, answers, latent.astype(np.float32), (basis * idf[:, None]).astype(np.float32), (idf * idf).astype(np.float32))
+    lengths = np.maximum(1, np.rint([len(w) / settings.step for w in words]).astype(int))
+    groups = []
+    for n in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == n)
+        groups.append(Group(n, mine, np.ascontiguousarray((matrix[mine] * idf).T.astype(np.float32))))
+    caps = np.stack([g.scores.max(axis=1) for g in groups], axis=1)
+    return Items([i for i, _ in items], words, answers, groups, caps, (idf * idf).astype(np.float32), (corpus * idf[:, None]).astype(np.float32), latent.astype(np.float32))
+
+
+def _window_sums(sums: np.ndarray, at: np.ndarray, reach: np.ndarray, span: int) -> np.ndarray:
+    """Sums over the cells at, at + 1, ... of windows of ``span`` cells, cut at ``reach``."""
+    out = sums[at].copy()
+    for shift in range(1, span):
+        inside = np.flatnonzero(reach[at] > shift)
+        out[inside] += sums[at[inside] + shift]
+    return out
 
 
 def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings: Decontamination) -> Iterator[tuple[int, int, int, int, float]]:
-    """(document, item, first word, last word, cosine) of windows at or over the threshold, in a batch of documents."""
+    """(document, item, first word, last word, cosine) of windows at or over the threshold, in a slice of documents."""
     step = settings.step
     # a run of one word repeated counts once, else it outweighs its window
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -219,30 +294,38 @@ def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings:
     first_cell = np.cumsum(cells) - cells
     cell = first_cell[doc] + (np.arange(len(columns)) - starts[doc]) // step
     bounds = np.flatnonzero(np.diff(cell, prepend=-1))
-    if not len(bounds):
-        return
-    sums = np.empty((len(bounds), items.basis.shape[1]), np.float32)
     edges = np.append(bounds, len(columns))
-    for a in range(0, len(bounds), 4096):
-        b = min(a + 4096, len(bounds))
-        sums[a:b] = np.add.reduceat(items.basis[columns[edges[a] : edges[b]]], bounds[a:b] - edges[a], axis=0)
-    mass = np.add.reduceat(items.idf2[columns], bounds)
     cell_doc = doc[bounds]
-    lengths = np.array([len(set(w)) and len(w) for w in items.words])
-    spans = np.maximum(1, np.rint(lengths / step).astype(int))
-    for span in np.unique(spans[lengths > 0]).tolist():
-        mine = np.flatnonzero((spans == span) & (lengths > 0))
-        window, weight = sums.copy(), mass.copy()
-        for shift in range(1, span):
-            same = np.zeros(len(sums), bool)
-            same[:-shift] = cell_doc[shift:] == cell_doc[:-shift]
-            at = np.flatnonzero(same)
-            window[at] += sums[at + shift]
-            weight[at] += mass[at + shift]
-        cosines = (window @ items.latent[mine].T) / np.sqrt(np.maximum(weight, 1e-12))[:, None]
-        for w, k in zip(*np.nonzero(cosines >= settings.cosine)):
-            last = min(w + span, first_cell[cell_doc[w]] + cells[cell_doc[w]]) - 1
-            yield int(cell_doc[w]), int(mine[k]), int(place[bounds[w]]), int(place[edges[last + 1] - 1]), min(1.0, float(cosines[w, k]))
+    reach = (first_cell + cells)[cell_doc] - np.arange(len(bounds))
+    every = np.arange(len(bounds))
+    caps = np.add.reduceat(items.caps[columns], bounds, axis=0)
+    mass = np.add.reduceat(items.idf2[columns], bounds)
+    # the latent part adds its weight at most
+    least = (settings.cosine - settings.latent) / (1 - settings.latent)
+    for g, group in enumerate(items.groups):
+        weight = np.sqrt(np.maximum(_window_sums(mass, every, reach, group.span), 1e-12))
+        open_windows = np.flatnonzero(_window_sums(caps[:, g], every, reach, group.span) >= least * weight)
+        if not len(open_windows):
+            continue
+        needed = np.zeros(len(bounds) + group.span, bool)
+        for shift in range(group.span):
+            needed[open_windows + shift] = True
+        needed = np.flatnonzero(needed[: len(bounds)])
+        used = np.zeros(len(bounds), bool)
+        used[needed] = True
+        words = np.flatnonzero(used[cell])
+        sizes = np.diff(edges)[needed]
+        sums = np.zeros((len(bounds), len(group.items)), np.float32)
+        sums[needed] = np.add.reduceat(group.scores[columns[words]], np.cumsum(sizes) - sizes, axis=0)
+        cosines = _window_sums(sums, open_windows, reach, group.span) / weight[open_windows, None]
+        for row, k in zip(*(x.tolist() for x in np.nonzero(cosines >= least))):
+            w, item = int(open_windows[row]), int(group.items[k])
+            end = int(edges[w + min(group.span, int(reach[w]))])
+            there = items.directions[columns[bounds[w] : end]].sum(axis=0)
+            latent = float(there @ items.latent[item]) / max(1e-12, float(np.linalg.norm(there)))
+            cosine = (1 - settings.latent) * min(1.0, float(cosines[row, k])) + settings.latent * latent
+            if cosine >= settings.cosine:
+                yield int(cell_doc[w]), item, int(place[bounds[w]]), int(place[end - 1]), cosine
 
 
 def verify(item: list[int], answer: list[int], text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
@@ -252,13 +335,15 @@ def verify(item: list[int], answer: list[int], text: list[int], settings: Decont
     return share >= settings.surely or (share >= settings.perhaps and answered), share, answered
 
 
-def _search(shared, settings: Decontamination, id_type: pa.DataType):
+def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
             found: dict[tuple[int, object], tuple] = {}
-            for a, b in text_slices(batch.column(1)):
-                counts, columns = _joined(batch.column(1).slice(a, b - a))
+            for a, b in text_slices(batch.column(1), SLICE_WORDS * np.dtype(stored).itemsize):
+                counts, columns = _joined(batch.column(1).slice(a, b - a), stored)
+                if not len(columns):
+                    continue
                 ends = np.cumsum(counts)
                 spans: dict[tuple[int, int], list[list]] = {}
                 for doc, k, first, last, cosine in sorted(_candidates(items, columns, counts, settings)):
@@ -328,21 +413,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, settin
     tokens = Columns(sorted({w for _, t in items for w in words_of(t)}), settings.hashed)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     staged = scratch.table(texts.mapInArrow(_staged(tokens, settings.passage), "kind int, id long, data binary"), "columns")
-    frequency = _summed(staged.filter("kind = 1").select("data"), "<i8", settings.reducers)
+    frequency = _summed(staged.filter("kind = 1").select("data"), "<i8", tokens.width + 1, settings.reducers)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
     words = staged.filter("kind = 0").select("id", "data")
 
-    q = np.random.default_rng(11).standard_normal((tokens.width, settings.rank)).astype(np.float32)
-    for _ in range(2):
-        shared = spark.sparkContext.broadcast((idf, q))
-        gram = _summed(words.select("data").mapInArrow(_gram_times(shared, settings.passage, tokens.width), "data binary"), "<f4", settings.reducers)
-        q = np.linalg.qr(gram.reshape(tokens.width, -1))[0].astype(np.float32)
-        shared.unpersist()
+    sketch = np.random.default_rng(11).standard_normal((tokens.width, settings.rank))
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), (sketch * idf[:, None]).astype(np.float32)))
+    gram = _summed(words.select("data").mapInArrow(_gram_times(shared, settings.passage, tokens.stored), "data binary"), "<f4", tokens.width * settings.rank, settings.reducers)
+    leading = leading_directions(gram.reshape(tokens.width, -1), sketch)
 
     found = None
     kind = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else None
     for at in range(0, len(items), settings.block_items):
-        block = spark.sparkContext.broadcast(prepare(items[at : at + settings.block_items], tokens, idf, q, settings))
-        part = words.mapInArrow(_search(block, settings, kind), schema)
+        block = spark.sparkContext.broadcast(prepare(items[at : at + settings.block_items], tokens, idf, leading, settings))
+        part = words.mapInArrow(_search(block, settings, kind, tokens.stored), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", "doc_id")
