@@ -68,13 +68,18 @@ def rotations(dim: int, search: Search) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(units: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signs (n, rotations, dim) as booleans, correction factors (n, rotations), table keys (n, tables)."""
-    turned, picks = rotations(units.shape[1], search)
+    turned, _ = rotations(units.shape[1], search)
     y = np.einsum("rij,nj->nri", turned, units)
     signs = y > 0
     factors = np.abs(y).sum(axis=2) / math.sqrt(units.shape[1])
+    return signs, factors, keys_of(signs, search)
+
+
+def keys_of(signs: np.ndarray, search: Search) -> np.ndarray:
+    """Keys of all tables (n, tables) from the signs."""
+    _, picks = rotations(signs.shape[2], search)
     weights = 1 << np.arange(search.bits, dtype=np.int64)
-    keys = signs.reshape(len(units), -1)[:, picks].astype(np.int64) @ weights
-    return signs, factors, keys
+    return signs.reshape(len(signs), -1)[:, picks].astype(np.int64) @ weights
 
 
 def estimates(units: np.ndarray, signs: np.ndarray, factors: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
@@ -103,32 +108,41 @@ def links_in(units: np.ndarray, signs: np.ndarray, factors: np.ndarray, search:
     return a[linked], b[linked]
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, digest, vector): the unit vector in double precision; null where a vector links with nothing."""
-    for batch in batches:
-        digests, vectors = [], []
-        for values in batch.column(1).to_pylist():
-            v = None
-            if values and None not in values:
-                v = np.array(values, np.float64)
-                peak = np.abs(v).max() if np.isfinite(v).all() else 0.0
-                v = v / peak if peak > 0 else None
-            vectors.append(None if v is None else (v / np.sqrt((v * v).sum())).tobytes())
-            digests.append(None if v is None else hashlib.blake2b(np.array(values, np.float64).tobytes(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], ["id", "digest", "vector"])
+def units_of(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length one, in doubles, from stored vectors of one dimension."""
+    rows = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
 
+def _stored_rows(kind: str):
+    """(id, digest, vector as it is); digest and vector null where a vector links with nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, vectors = [], []
+            for values in batch.column(1).to_pylist():
+                v = np.array(values, kind) if values and None not in values else None
+                usable = v is not None and bool(np.isfinite(v).all()) and bool(v.any())
+                vectors.append(v.tobytes() if usable else None)
+                # 0.0 and -0.0 are equal
+                digests.append(hashlib.blake2b((v + 0).tobytes(), digest_size=16).digest() if usable else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], ["id", "digest", "vector"])
 
-def _codes(search: Search):
+    return run
+
+
+def _codes(search: Search, kind: str):
     """(id, copies, vector) with code, factors and the keys of all tables."""
+    size = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(2).to_pylist()
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
-                by_dim.setdefault(len(v) // 8, []).append(i)
+                by_dim.setdefault(len(v) // size, []).append(i)
             for dim, rows in by_dim.items():
-                units = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(-1, dim)
-                signs, factors, keys = encode(units, search)
+                signs, factors, keys = encode(units_of([vectors[i] for i in rows], kind), search)
                 packed = np.packbits(signs.reshape(len(rows), -1), axis=1)
                 # vectors of different dimensions never meet
                 keys = keys + (dim << 32)
@@ -145,7 +159,7 @@ CODED = "id long, copies long, vector binary, code binary, factors binary, keys
 FOUND = "u long, v long, n long"
 
 
-def _cells(search: Search):
+def _cells(search: Search, kind: str):
     """Links of each cell out of rows sorted by cell: counts (u, null, n) and star edges (u, v, 0)."""
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         if len(rows) < 2:
@@ -153,11 +167,11 @@ def _cells(search: Search):
         table, _, i, j = rows[0][:4]
         side = np.array([r[4] for r in rows])
         ids, copies = np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64)
-        units = np.frombuffer(b"".join(r[7] for r in rows), np.float64).reshape(len(rows), -1)
+        units = units_of([r[7] for r in rows], kind)
         count = len(rows[0][9]) // 4
         signs = np.unpackbits(np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : count * units.shape[1]].astype(bool).reshape(len(rows), count, -1)
         factors = np.frombuffer(b"".join(r[9] for r in rows), np.float32).reshape(len(rows), count).astype(np.float64)
-        keys = np.array([r[10] for r in rows])[:, :table]
+        keys = keys_of(signs, search)[:, :table]
         a, b = links_in(units, signs, factors, search)
         if i != j:
             crossing = side[a] != side[b]
@@ -192,17 +206,17 @@ def _cells(search: Search):
     return run
 
 
-def near_links(distinct: DataFrame, search: Search, scratch: Scratch) -> DataFrame:
+def near_links(distinct: DataFrame, search: Search, scratch: Scratch, kind: str) -> DataFrame:
     """(u, v, n) rows: links per vector, v null, and star edges, n 0, from rows (id, copies, vector)."""
-    coded = scratch.table(distinct.mapInArrow(_codes(search), CODED), "codes")
-    entries = coded.select("*", F.posexplode("keys").alias("table", "key"))
+    coded = scratch.table(distinct.mapInArrow(_codes(search, kind), CODED), "codes")
+    entries = coded.select("id", "copies", "vector", "code", "factors", F.posexplode("keys").alias("table", "key"))
     hot = scratch.table(coded.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("n")).filter(F.col("n") > search.block), "hot")
     placed = entries.join(hot, ["table", "key"], "left").withColumn("of", F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / search.block)).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("of")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    cells = placed.select("table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "vector", "code", "factors", "keys")
+    cells = placed.select("table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "vector", "code", "factors")
     order = ["table", "key", "i", "j"]
-    return cells.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_cells(search), FOUND)
+    return cells.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_cells(search, kind), FOUND)
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, search: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -220,10 +234,11 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, search: Search = Searc
     is cut into blocks, a pair of blocks to a cell, so no task holds more than
     two blocks; cells put out counts and a forest, never all pairs of a group.
     """
-    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(_unit_rows, "id long, digest binary, vector binary"), "units")
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    rows = scratch.table(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(_stored_rows(kind), "id long, digest binary, vector binary"), "units")
     usable = rows.filter("digest is not null and id is not null")
     classes = scratch.table(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
-    found = scratch.table(near_links(classes.select(F.col("rep").alias("id"), "copies", "vector"), search.plan(classes.count()), scratch), "found")
+    found = scratch.table(near_links(classes.select(F.col("rep").alias("id"), "copies", "vector"), search.plan(classes.count()), scratch, kind), "found")
     counts = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "rep")
     solved = classes.select("digest", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left")
