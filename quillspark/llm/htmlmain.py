@@ -37,6 +37,9 @@ UNWANTED = frozenset(
     "signup login comment comments respond replies disqus pagination pager skip tags complementary contentinfo".split()
 )
 
+#: Words beside which the others of a class name say what a page has, not what an element is.
+ABOUT_PAGE = frozenset("has with no without not hide show".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -85,7 +88,15 @@ class Page:
         return inside
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, str]:
+def _is_unwanted_name(value: str) -> bool:
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & UNWANTED and not words & ABOUT_PAGE:
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, by_name: bool) -> tuple[bool, str]:
     """Whether an element is not part of any article, and its generalised classes."""
     classes, marked = "", tag in DROPPED
     if "=" in attributes:
@@ -93,12 +104,16 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, str]:
             value = next((v for v in values if v), "")
             if name.lower() == "class":
                 classes = "".join("." + _DIGITS.sub("#", c) for c in sorted(set(value.split())))
-            marked = marked or (tag not in ("html", "body", "article", "main") and any(w.lower() in UNWANTED for w in _WORDS.findall(value)))
+            marked = marked or (by_name and tag not in ("html", "body", "article", "main") and _is_unwanted_name(value))
     return marked, classes
 
 
-def parse(source: str) -> Page:
-    """Containers and text blocks of a page; unclosed and misnested tags are allowed."""
+def parse(source: str, by_name: bool = True) -> Page:
+    """Containers and text blocks of a page; unclosed and misnested tags are allowed.
+
+    Elements that are no part of an article are known by their tag and, with
+    ``by_name``, by words in their class, id or role.
+    """
     page = Page()
     # open elements: (tag, dropped here or above, container index or -1, step of the path)
     stack: list[tuple[str, bool, int, str]] = []
@@ -166,7 +181,7 @@ def parse(source: str) -> Page:
             close_to(i)
         if tag in CLOSED_BY_LIKE and (i := open_like(CLOSED_BY_LIKE[tag], frozenset(("ul", "ol", "dl", "table")))) >= 0:
             close_to(i)
-        marked, classes = _unwanted(tag, token[m.end() :])
+        marked, classes = _unwanted(tag, token[m.end() :], by_name)
         step = tag + classes
         container = -1
         if tag in CONTAINERS:
@@ -236,6 +251,11 @@ def extract(page: Page, path: str | None) -> str:
     return " ".join(texts)
 
 
+def main_text(source: str, path: str | None) -> str:
+    """``extract`` of a page; one whose every text stands under an unwanted name is read by tags alone."""
+    return extract(parse(source), path) or extract(parse(source, by_name=False), path)
+
+
 def extract_main_text(pages: DataFrame, scratch: Scratch, broadcast_hosts: int = 50_000) -> DataFrame:
     """A row per page: page_id, url, text, n_chars.
 
@@ -258,7 +278,7 @@ def extract_main_text(pages: DataFrame, scratch: Scratch, broadcast_hosts: int =
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(parse(source.as_py() or ""), path.as_py()) for source, path in zip(batch.column(2), batch.column(3))]
+            texts = [main_text(source.as_py() or "", path.as_py()) for source, path in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     located = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))

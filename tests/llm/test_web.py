@@ -123,6 +123,13 @@ def test_odd_pages(source, want):
     assert text_of(source) == want
 
 
+def test_names_of_whole_pages_are_not_taken_for_their_parts():
+    story = "<p>the story</p>"
+    assert text_of(f"<div class='page has-sidebar no-comments'>{story}<div class=sidebar>s</div></div>") == "the story"
+    assert htmlmain.main_text(f"<div class=sidebar>{story}<nav>n</nav></div>", None) == "the story"
+    assert htmlmain.main_text("<nav>n</nav>", None) == ""
+
+
 def test_deep_and_unclosed_pages_end():
     assert text_of("<div>" * 30000 + "q") == "q"
     assert text_of("<b>" * 30000 + "q" + "</i>" * 30000) == "q"
