@@ -136,3 +136,8 @@ def softmax(scores: Column) -> Column:
 def option_text(question: Column, letter: str) -> Column:
     """Text of the option that a line ``{letter}. text`` of the question gives; '' without it."""
     return F.regexp_extract(question, rf"(?m)^{letter}\.\s*(.*)$", 1)
+
+
+def classifier_input(question: Column, context: Column) -> Column:
+    """What the usefulness classifier reads."""
+    return F.concat(F.lit("question: "), question, F.lit(" context: "), context)

@@ -717,3 +717,13 @@ SELECT query_id, variant, coalesce(string_agg(doc_id::varchar, ',' ORDER BY rank
 def document_set_variants(spark, sf_dir):
     found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 3)
     return prep.document_sets(found, [[], [1], [2], [3], [1, 2, 3]])
+
+
+_ASKED = "text || chr(10) || chr(10) || 'A. one' || chr(10) || 'B. ' || item_id || chr(10) || 'C. three'"
+
+
+@query(f"SELECT item_id, regexp_extract({_ASKED}, '(?m)^B\\.\\s*(.*)$', 1) AS option_b, 'question: ' || text || ' context: ' || item_id AS classifier_input FROM benchmark")
+def option_lookup(spark, sf_dir):
+    asked = F.concat(F.col("text"), F.lit("\n\nA. one\nB. "), F.col("item_id").cast("string"), F.lit("\nC. three"))
+    joined = text.classifier_input(F.col("text"), F.col("item_id").cast("string"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.option_text(asked, "B").alias("option_b"), joined.alias("classifier_input"))
