@@ -25,7 +25,7 @@ class Index:
 
     def terms(self) -> DataFrame:
         """term, df, idf, max_impact (the greatest BM25 score of the term in a document)."""
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        df = document_frequency(self.postings)
         # one row of statistics, so the product is no larger than the terms
         df = df.crossJoin(F.broadcast(self.corpus_stats())).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
         impact = self.postings.join(df, "term").groupBy("term").agg(F.max(bm25(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("max_impact"))
@@ -41,6 +41,11 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
 
 
+def document_frequency(postings: DataFrame) -> DataFrame:
+    """(term, df). It reads tf, so that its plan shares the postings' shuffle instead of making one without tf."""
+    return postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
 def idf(n: F.Column, df: F.Column) -> F.Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
@@ -68,7 +73,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     """
     tokenised = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
     stats = tokenised.select("doc_id", F.size("tokens").cast("long").alias("doc_len"))
-    postings = tokenised.select("doc_id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
+    # explode would have the tokens found twice, once to filter documents without any
+    postings = tokenised.select("doc_id", F.size("tokens").cast("long").alias("doc_len"), F.explode_outer("tokens").alias("term")).filter("term is not null")
     return Index(postings.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")), stats)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import STOP_WORDS, tokens
 
-from .index import Index, bm25, classic_bm25, idf, restrict, tfidf
+from .index import Index, bm25, classic_bm25, document_frequency, idf, restrict, tfidf
 
 SCALE = 6  #: decimals of scores, so that ties are ties in any summation order
 
@@ -33,7 +33,7 @@ def score(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
     is bm25, tfidf or classic.
     """
     asked = restrict(index, terms).postings
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    df = document_frequency(asked)
     joined = asked.join(df, "term").crossJoin(F.broadcast(index.corpus_stats())).join(terms, "term")
     n, d, tf, dl, avg, qtf = (F.col(c) for c in ("n_docs", "df", "tf", "doc_len", "avg_len", "qtf"))
     part = {"bm25": lambda: bm25(idf(n, d), tf, dl, avg) * qtf, "tfidf": lambda: tfidf(n, d, tf, dl) * qtf, "classic": lambda: classic_bm25(n, d, tf, dl, avg, qtf)}[scorer]()

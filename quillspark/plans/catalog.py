@@ -91,7 +91,7 @@ def corpus_stats(spark, sf_dir):
 @query(f"WITH {_TF} SELECT term, df, round({_IDF}, 6) AS idf FROM df, ns")
 def term_df_idf(spark, sf_dir):
     i = _index(spark, sf_dir)
-    df = i.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(i.corpus_stats()))
+    df = index.document_frequency(i.postings).crossJoin(F.broadcast(i.corpus_stats()))
     return df.select("term", "df", F.round(index.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
@@ -157,7 +157,7 @@ _SPARSE_SQL = f"sparse AS (SELECT query_id, tf.doc_id, {_SPARSE} AS score FROM t
 def _sparse_scores(i: index.Index, questions: DataFrame) -> DataFrame:
     terms = search.query_terms(questions)
     asked = index.restrict(i, terms).postings
-    weights = asked.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(i.corpus_stats())).select("term", index.idf(F.col("n_docs"), F.col("df")).alias("w"))
+    weights = index.document_frequency(asked).crossJoin(F.broadcast(i.corpus_stats())).select("term", index.idf(F.col("n_docs"), F.col("df")).alias("w"))
     q = terms.join(weights, "term").select("query_id", "term", (F.col("w") * F.col("qtf")).alias("q"))
     d = asked.join(weights, "term").select("doc_id", "term", (F.col("w") * (1 + F.log("tf"))).alias("d"))
     return vectors.sparse_dot(q, d)
