@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .wordstream import WordEncoder, text_slices
 
 # The white space and the pre-token pattern of this kind of tokenizer.
@@ -41,7 +42,7 @@ def byte_characters() -> list[str]:
 
 
 #: Distinct fragments whose ids an encoder remembers; beyond, it starts anew.
-CACHE_FRAGMENTS = 200_000
+CACHE_FRAGMENTS = 100_000
 
 
 class ForcedBoundaryBPE:
@@ -190,7 +191,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out.cast(pa.binary())], ["id", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def coded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +223,7 @@ def coded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -234,4 +235,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     schema = T.StructType([T.StructField("id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .memory import tidy
 from .scratch import Scratch
 from .wordstream import text_slices
 
@@ -189,7 +190,7 @@ def train(labelled: DataFrame, scratch: Scratch, settings: Training = Training()
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], min(1.0, 2.0 * settings.per_language / r["count"])).otherwise(share)
-    gathered = scratch.table(rows.select("lang", "text", (spread < share).alias("sampled")).mapInArrow(_gather_statistics, "lang string, features binary, counts binary"), "statistics")
+    gathered = scratch.table(rows.select("lang", "text", (spread < share).alias("sampled")).mapInArrow(tidy(_gather_statistics), "lang string, features binary, counts binary"), "statistics")
 
     frequency = np.zeros(1 << BITS, np.int64)
     for r in gathered.filter("lang is null").select("features").repartition(settings.reducers).mapInArrow(_sum_frequencies, "features binary").collect():
@@ -263,7 +264,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str, keep: tuple[str,
     source = docs.select(*columns, *(() if "text" in columns else ("text",)))
     at_text = source.columns.index("text")
     schema = T.StructType([*source.schema.fields[: len(columns)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

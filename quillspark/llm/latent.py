@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .scratch import Scratch
 from .wordstream import ragged_take, text_slices
 
@@ -412,20 +413,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, settin
         return spark.createDataFrame([], schema).withColumnRenamed("id", "doc_id")
     tokens = Columns(sorted({w for _, t in items for w in words_of(t)}), settings.hashed)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    staged = scratch.table(texts.mapInArrow(_staged(tokens, settings.passage), "kind int, id long, data binary"), "columns")
+    staged = scratch.table(texts.mapInArrow(tidy(_staged(tokens, settings.passage)), "kind int, id long, data binary"), "columns")
     frequency = _summed(staged.filter("kind = 1").select("data"), "<i8", tokens.width + 1, settings.reducers)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
     words = staged.filter("kind = 0").select("id", "data")
 
     sketch = np.random.default_rng(11).standard_normal((tokens.width, settings.rank))
     shared = spark.sparkContext.broadcast((idf.astype(np.float32), (sketch * idf[:, None]).astype(np.float32)))
-    gram = _summed(words.select("data").mapInArrow(_gram_times(shared, settings.passage, tokens.stored), "data binary"), "<f4", tokens.width * settings.rank, settings.reducers)
+    gram = _summed(words.select("data").mapInArrow(tidy(_gram_times(shared, settings.passage, tokens.stored)), "data binary"), "<f4", tokens.width * settings.rank, settings.reducers)
     leading = leading_directions(gram.reshape(tokens.width, -1), sketch)
 
     found = None
     kind = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else None
     for at in range(0, len(items), settings.block_items):
         block = spark.sparkContext.broadcast(prepare(items[at : at + settings.block_items], tokens, idf, leading, settings))
-        part = words.mapInArrow(_search(block, settings, kind, tokens.stored), schema)
+        part = words.mapInArrow(tidy(_search(block, settings, kind, tokens.stored)), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", "doc_id")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components, forest
+from .memory import tidy
 from .scratch import Scratch
 from .wordstream import text_slices
 
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def _keys(fp: str, flips: list[int]) -> F.Column:

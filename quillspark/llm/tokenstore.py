@@ -24,11 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .scratch import Scratch
 from .wordstream import WordEncoder, text_slices
 
@@ -156,7 +156,7 @@ def _encode(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
     schema = T.StructType(
         [T.StructField("id", docs.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("digests", T.BinaryType()), T.StructField("ids", T.BinaryType())]
     )
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(tidy(run), schema)
 
 
 def _split_chunks(width: int):
@@ -224,7 +224,7 @@ def write_store(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str =
     store = TokenStore(spark, scratch.uri, width, docs.schema["id"].dataType)
     encoded = scratch.table(_encode(docs, tokenizer, width), "encoded")
 
-    chunks = encoded.select("sizes", "digests", "ids").mapInArrow(_split_chunks(width), "digest binary, ids binary")
+    chunks = encoded.select("sizes", "digests", "ids").mapInArrow(tidy(_split_chunks(width)), "digest binary, ids binary")
     scratch.table(chunks.groupBy("digest").agg(F.first("ids").alias("ids")), "chunks")
     order = ["id", "n_tokens", "digests"]
     ranged = encoded.select("id", "n_tokens", "sizes", "digests").repartitionByRange(*order).sortWithinPartitions(*order)

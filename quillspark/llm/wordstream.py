@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together until they hold so many bytes.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 5_000_000
 #: Distinct pieces whose ids a Python worker remembers; beyond, it starts anew.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 600_000
 
 # A word of these characters alone is its own NFC form and holds no contraction
 # and no special token, so a letter next to a non-letter is a sure border.
