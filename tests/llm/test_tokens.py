@@ -53,17 +53,19 @@ def test_any_text_is_coded_as_by_the_library(library, coder, text):
     assert coder.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
-def test_long_fragments_merge_as_short_ones(coder):
-    ids = [coder.inner_id[b] for b in b"banananana" * 5]
-    library_like = coder._merge(b"banananana" * 4, False)
-    assert coder._merge_long([coder.inner_id[b] for b in b"banananana" * 4]) == library_like
-    assert coder._merge_long(list(ids))
-
-
-def test_cuts_lie_between_bytes_that_no_token_joins(coder):
-    raw = "zq%%é$x".encode()
-    assert all(not coder.together[raw[i - 1], raw[i]] for i in coder.cuts(raw))
-    assert coder.cuts("ab€".encode()) or True
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abnst*é", min_size=1, max_size=90).map(str.encode))
+def test_cut_or_not_and_by_heap_or_not_the_merges_are_the_same(coder, raw):
+    ids = [coder.inner_id[b] for b in raw[:-1]] + [coder.final_id[raw[-1]]]
+    assert coder._pretoken(raw) == coder._merge_long(list(ids))
+    if len(raw) <= 40:
+        assert coder._merge(raw, True) == coder._merge_long(list(ids))
+
+
+def test_cuts_are_all_borders_between_bytes_that_no_token_joins(coder):
+    raw = "zq%%é$x€".encode()
+    assert coder.cuts(raw) == [i for i in range(1, len(raw)) if not coder.together[raw[i - 1], raw[i]]]
+    assert coder.cuts("x€".encode()) and not coder.cuts(b"the")
 
 
 def test_caches_start_anew(coder, library, monkeypatch):
