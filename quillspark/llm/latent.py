@@ -40,12 +40,15 @@ class Decontamination:
     perhaps: float = 0.6  #: share that settles it where the answer is there too
     answer_words: int = 8  #: the answer is an item's last sentence, or so many last words of it
     answer_share: float = 0.8  #: share of the answer's words that must be there in order
+    short: int = 16  #: items of so many words at most (16 or fewer) are looked up by their rarest words
     block_items: int = 256  #: items searched for in one pass
     reducers: int = 8  #: partial sums are combined to so many before the driver
 
 
 #: Words that are turned into dense rows at a time.
 SLICE_WORDS = 32_768
+#: Occurrences of short items' words that are looked around at a time.
+LOOKUPS = 8_192
 
 _sentences = re.compile(r"[.!?。؟]+\s*")
 
@@ -238,6 +241,19 @@ class Group:
     scores: np.ndarray  #: [column, item]: what a word adds to the inner product with the item
 
 
+@dataclass(frozen=True)
+class Short:
+    """Short items, found by words of which every match that can pass ``verify`` holds one."""
+
+    items: np.ndarray
+    least: np.ndarray  #: words of each that must be there
+    first: np.ndarray  #: [column]: where the column's places in ``by_column`` begin
+    many: np.ndarray  #: [column]: how many there are
+    by_column: np.ndarray  #: places in ``items`` that the column's word leads to
+    masks: np.ndarray  #: [item, column]: bits of the places where the item has the word
+    scores: np.ndarray  #: [item, column]: what a word adds to the inner product with the item
+
+
 @dataclass(frozen=True)
 class Items:
     """Prepared items of a block."""
@@ -250,6 +266,33 @@ class Items:
     idf2: np.ndarray
     directions: np.ndarray  #: [column, direction], times idf
     latent: np.ndarray  #: [item, direction], rows of length one
+    short: Short | None = None  #: items that are not in ``groups``
+
+
+def stretch(words: int) -> int:
+    """Words of a text among which an item of so many words has its common subsequence."""
+    return words + words // 2 + 2
+
+
+def _short_items(mine: np.ndarray, words: list[list[int]], idf: np.ndarray, scores: np.ndarray, settings: Decontamination) -> Short | None:
+    """Lookups of the items at ``mine``.
+
+    A match has ``least`` of an item's n words at least, so that of any
+    n - least + 1 of them it has one: the rarest lead to the item.
+    """
+    if not len(mine):
+        return None
+    share = min(settings.surely, settings.perhaps)
+    least = np.array([next(m for m in range(1, len(words[k]) + 1) if m / len(words[k]) >= share) for k in mine.tolist()])
+    masks = np.zeros((len(mine), len(idf)), np.uint16)
+    leads = set()
+    for place, (k, need) in enumerate(zip(mine.tolist(), least.tolist())):
+        for bit, column in enumerate(words[k]):
+            masks[place, column] |= np.uint16(1 << bit)
+        leads |= {(column, place) for column in sorted(words[k], key=lambda c: (-idf[c], c))[: len(words[k]) - need + 1]}
+    columns, places = np.array(sorted(leads)).T
+    many = np.bincount(columns, minlength=len(idf))
+    return Short(mine, least, np.cumsum(many) - many, many, places, masks, scores.astype(np.float32))
 
 
 def prepare(items: list[tuple[object, str]], tokens: Columns, idf: np.ndarray, corpus: np.ndarray, settings: Decontamination) -> Items:
@@ -262,13 +305,17 @@ def prepare(items: list[tuple[object, str]], tokens: Columns, idf: np.ndarray, c
     matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
     latent = matrix @ corpus
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
-    lengths = np.maximum(1, np.rint([len(w) / settings.step for w in words]).astype(int))
+    sizes = np.array([len(w) for w in words])
+    brief = sizes <= min(16, settings.short)
+    lengths = np.where(brief, 0, np.maximum(1, np.rint(sizes / settings.step).astype(int)))
     groups = []
-    for n in np.unique(lengths).tolist():
+    for n in np.unique(lengths[~brief]).tolist():
         mine = np.flatnonzero(lengths == n)
         groups.append(Group(n, mine, np.ascontiguousarray((matrix[mine] * idf).T.astype(np.float32))))
-    caps = np.stack([g.scores.max(axis=1) for g in groups], axis=1)
-    return Items([i for i, _ in items], words, answers, groups, caps, (idf * idf).astype(np.float32), (corpus * idf[:, None]).astype(np.float32), latent.astype(np.float32))
+    caps = np.stack([g.scores.max(axis=1) for g in groups], axis=1) if groups else np.zeros((tokens.width, 0), np.float32)
+    mine = np.flatnonzero(brief)
+    short = _short_items(mine, words, idf, matrix[mine] * idf, settings)
+    return Items([i for i, _ in items], words, answers, groups, caps, (idf * idf).astype(np.float32), (corpus * idf[:, None]).astype(np.float32), latent.astype(np.float32), short)
 
 
 def _window_sums(sums: np.ndarray, at: np.ndarray, reach: np.ndarray, span: int) -> np.ndarray:
@@ -282,6 +329,8 @@ def _window_sums(sums: np.ndarray, at: np.ndarray, reach: np.ndarray, span: int)
 
 def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings: Decontamination) -> Iterator[tuple[int, int, int, int, float]]:
     """(document, item, first word, last word, cosine) of windows at or over the threshold, in a slice of documents."""
+    if not items.groups:
+        return
     step = settings.step
     # a run of one word repeated counts once, else it outweighs its window
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -329,6 +378,57 @@ def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings:
                 yield int(cell_doc[w]), item, int(place[bounds[w]]), int(place[end - 1]), cosine
 
 
+def _short_candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings: Decontamination) -> Iterator[tuple[int, int, int, int, float]]:
+    """(document, item, first word, last word, cosine) about words that lead to short items and have enough of the item around.
+
+    The window of the item's own length with the largest cosine over the
+    item's words that holds the word is given. None that ``verify`` accepts is left out.
+    """
+    short = items.short
+    if short is None:
+        return
+    doc = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    hits = np.flatnonzero(short.many[columns])
+    lookups = short.many[columns[hits]]
+    upto = np.cumsum(lookups)
+    start = 0
+    while start < len(hits):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + LOOKUPS, "right")))
+        at = np.repeat(hits[start:stop], lookups[start:stop])
+        places, _ = ragged_take(short.by_column, short.first, short.many, columns[hits[start:stop]])
+        start = stop
+        sizes = np.array([len(items.words[k]) for k in short.items.tolist()])[places]
+        for size in np.unique(sizes).tolist():
+            chosen = np.flatnonzero(sizes == size)
+            where, place = at[chosen], places[chosen]
+            lo, hi = ends[doc[where]] - counts[doc[where]], ends[doc[where]]
+            around = where[:, None] + np.arange(1 - stretch(size), stretch(size))
+            inside = (around >= lo[:, None]) & (around < hi[:, None])
+            there = short.masks[place[:, None], columns[np.clip(around, 0, len(columns) - 1)]] * inside
+            enough = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(there, axis=1)) >= short.least[place])
+            if not len(enough):
+                continue
+            where, place, lo, hi = where[enough], place[enough], lo[enough], hi[enough]
+            # windows of the item's length: their first words, then their words; those outside the document add nothing
+            firsts = where[:, None] + np.arange(1 - size, 1)
+            around = firsts[:, :, None] + np.arange(size)
+            inside = (around >= lo[:, None, None]) & (around < hi[:, None, None])
+            own = columns[np.clip(around, 0, len(columns) - 1)]
+            weight = np.sqrt(np.maximum((items.idf2[own] * inside).sum(axis=2), 1e-12))
+            cosines = (short.scores[place[:, None, None], own] * inside).sum(axis=2) / weight
+            # the first of the best, so that the windows of one copy agree
+            best = cosines.argmax(axis=1)
+            rows = np.arange(len(best))
+            directions = (items.directions[own[rows, best]] * inside[rows, best][:, :, None]).sum(axis=1)
+            item = short.items[place]
+            latent = (directions * items.latent[item]).sum(axis=1) / np.maximum(1e-12, np.linalg.norm(directions, axis=1))
+            total = (1 - settings.latent) * np.minimum(1.0, cosines[rows, best]) + settings.latent * latent
+            first = np.maximum(firsts[rows, best], lo)
+            last = np.minimum(firsts[rows, best] + size, hi) - 1
+            yield from zip(doc[where].tolist(), item.tolist(), first.tolist(), last.tolist(), total.tolist())
+
+
 def verify(item: list[int], answer: list[int], text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
     """(contaminated, share of the item in the common subsequence, whether the answer is there)."""
     share = common_subsequence(item, text) / len(item)
@@ -347,7 +447,7 @@ def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str
                     continue
                 ends = np.cumsum(counts)
                 spans: dict[tuple[int, int], list[list]] = {}
-                for doc, k, first, last, cosine in sorted(_candidates(items, columns, counts, settings)):
+                for doc, k, first, last, cosine in sorted({*_candidates(items, columns, counts, settings), *_short_candidates(items, columns, counts, settings)}):
                     runs = spans.setdefault((doc, k), [])
                     if runs and first <= runs[-1][1] + 1:
                         runs[-1][1] = max(runs[-1][1], last)
@@ -357,10 +457,11 @@ def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str
                 for (doc, k), runs in spans.items():
                     lo, hi = int(ends[doc] - counts[doc]), int(ends[doc])
                     item = items.words[k]
+                    margin = stretch(len(item)) if len(item) <= settings.short else len(item)
                     for first, last, cosine in runs:
                         # the item may begin before the window and end after it
-                        start = max(lo, first - len(item))
-                        text = columns[start : min(hi, last + 1 + len(item))].tolist()
+                        start = max(lo, first - margin)
+                        text = columns[start : min(hi, last + 1 + margin)].tolist()
                         sure, share, answered = _densest(item, items.answers[k], text, settings)
                         if sure:
                             row = (share, cosine, answered, first - lo)
@@ -383,13 +484,17 @@ def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str
 
 
 def _densest(item: list[int], answer: list[int], text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
-    """``verify`` of the stretch of the text, half as long again as the item, that has the largest share."""
-    size = len(item) + len(item) // 2 + 2
+    """``verify`` of the stretch of the text, half as long again as the item, that has the largest share.
+
+    Stretches begin at every word for short items, else at every quarter of the item.
+    """
+    size = stretch(len(item))
     if len(text) <= size:
         return verify(item, answer, text, settings)
     if common_subsequence(item, text) < settings.perhaps * len(item):
         return False, 0.0, False
-    return max(verify(item, answer, text[i : i + size], settings) for i in range(0, len(text) - size + max(1, len(item) // 4), max(1, len(item) // 4)))
+    step = 1 if len(item) <= settings.short else len(item) // 4
+    return max(verify(item, answer, text[i : i + size], settings) for i in range(0, len(text) - size + step, step))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, settings: Decontamination = Decontamination()) -> DataFrame:

@@ -124,6 +124,41 @@ def test_every_verbatim_item_is_found_and_nothing_else(spark, tiny):
     assert want and got == want
 
 
+def test_short_items_are_found_at_every_offset(spark):
+    rng = np.random.default_rng(12)
+    rare = lambda n: " ".join(f"x{k}" for k in rng.integers(0, 1 << 40, n))
+    items = [(n, " ".join(f"item{n}word{i}" for i in range(n, 0, -1))) for n in range(1, 9)]
+    planted = [(100 * n + offset, rare(40 + offset) + " " + text + " " + rare(50)) for n, text in items for offset in range(8)]
+    docs = spark.createDataFrame([*planted, (1, rare(300)), (2, "item2word1"), (3, items[7][1].replace("item8word3", "other"))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()}
+    assert got == {(100 * n + offset, n) for n, _ in items for offset in range(8)} | {(3, 8)}
+
+
+def test_short_items_against_checks_of_every_stretch():
+    rng = np.random.default_rng(13)
+    own = [f"w{i}" for i in range(40)]
+    tokens = latent.Columns(own, 64)
+    texts = [(k, " ".join(rng.choice(own, n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 11, 15, 16])]
+    chosen = latent.Decontamination()
+    idf = rng.random(tokens.width) + 1
+    items = latent.prepare(texts, tokens, idf, rng.standard_normal((tokens.width, 4)), chosen)
+    counts = np.array([70, 0, 3, 90, 1] * 12)
+    columns = rng.integers(0, tokens.width, counts.sum()).astype("<u2")
+    ends = np.cumsum(counts)
+    for k in range(200):  # pieces of items with some of their words replaced
+        item = np.array(items.words[int(rng.integers(len(texts)))])
+        at = int(rng.integers(len(columns) - len(item)))
+        columns[at : at + len(item)] = np.where(rng.random(len(item)) < 0.75, item, columns[at : at + len(item)])
+    want = set()
+    for d, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
+        for k, item in enumerate(items.words):
+            size = latent.stretch(len(item))
+            if n and any(latent.verify(item, items.answers[k], columns[i : min(end, i + size)].tolist(), chosen)[0] for i in range(end - n, end)):
+                want.add((d, k))
+    near = {(d, k) for d, k, *_ in latent._short_candidates(items, columns, counts, chosen)}
+    assert len(want) > 50 and want <= near
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=15))
 def test_common_subsequence(a, b):
