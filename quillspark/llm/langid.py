@@ -1,8 +1,8 @@
 """Language identification by sparse multinomial logistic regression.
 
 Features are hashed character n-grams weighted by TF-IDF. Document frequencies
-cover all labelled training rows; the regression is fitted on a bounded sample
-of them by follow-the-regularised-leader with an elastic-net penalty, and a
+cover all labelled training rows; every labelled language is learned. The
+regression is fitted on a sample, of bounded rows a language, by follow-the-regularised-leader with an elastic-net penalty, and a
 temperature fitted on rows kept apart calibrates its probabilities.
 """
 
@@ -34,7 +34,8 @@ class Training:
     """Bounds and penalties of the fit."""
 
     per_language: int = 500  #: labelled rows of a language in the sample at most
-    max_languages: int = 64  #: languages learned at most, the most frequent
+    full_languages: int = 64  #: beyond so many languages, a language has fewer rows in the sample
+    least_rows: int = 50  #: but so many (or all it has)
     epochs: int = 4
     alpha: float = 0.5  #: learning rate
     beta: float = 1.0
@@ -43,6 +44,10 @@ class Training:
     calibration: int = 5  #: every so many sample rows are kept apart for the temperature
     reducers: int = 32  #: partial document frequencies are summed to so many before the driver
 
+    def rows_of(self, languages: int) -> int:
+        """Rows of a language in the sample: a step of the fit costs time by languages, as does the sample's size."""
+        return min(self.per_language, max(self.least_rows, self.per_language * self.full_languages**2 // languages**2))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -155,7 +160,9 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int, n
             g = x * p
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / settings.alpha * w
             n[at] += g * g
-    w = weights(slice(None))
+    w = np.empty_like(z)
+    for start in range(0, len(w), 4096):
+        w[start : start + 4096] = weights(slice(start, start + 4096))
     return w[:-1], w[-1]
 
 
@@ -179,46 +186,56 @@ def train(labelled: DataFrame, scratch: Scratch, settings: Training = Training()
     """Fit a model to rows (id, lang, text); None if no row has a language and a text.
 
     Document frequencies are of all these rows, in one pass that also gathers
-    the sparse counts of the sample: about twice ``per_language`` rows of each
-    language by the hash of their id, then the first ``per_language`` of them.
+    the sparse counts of the sample: about twice ``Training.rows_of`` rows of each
+    language by the hash of their id, then the first so many of them. Every
+    language with a row is a class; a language's fifth, tenth, ... row is kept
+    apart, so that one of few rows has all of them in the fit. The driver's
+    memory and a step's time grow with the number of languages.
     """
     rows = labelled.filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return None
     spread = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2.0 * settings.per_language / r["count"])).otherwise(share)
+    per_language = settings.rows_of(len(sizes))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))))[F.col("lang")]
     gathered = scratch.table(rows.select("lang", "text", (spread < share).alias("sampled")).mapInArrow(tidy(_gather_statistics), "lang string, features binary, counts binary"), "statistics")
 
     frequency = np.zeros(1 << BITS, np.int64)
     for r in gathered.filter("lang is null").select("features").repartition(settings.reducers).mapInArrow(_sum_frequencies, "features binary").collect():
         frequency += np.frombuffer(r["features"], "<i8")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("features", "counts"), "features", "counts"))
-    sample = gathered.filter("lang is not null").withColumn("place", place).filter(F.col("place") <= settings.per_language).orderBy("lang", "place").collect()
+    sample = gathered.filter("lang is not null").withColumn("place", place).filter(F.col("place") <= per_language).orderBy("lang", "place").collect()
 
     languages = tuple(sorted({r["lang"] for r in sample}))
     idf = np.log((1 + sum(r["count"] for r in sizes)) / (1 + frequency)) + 1
-    examples = []
+    number = {lang: k for k, lang in enumerate(languages)}
+    examples, apart = [], []
     for r in sample:
         features, counts = np.frombuffer(r["features"], "<u4"), np.frombuffer(r["counts"], "<u4")
-        examples.append((languages.index(r["lang"]), features, SCALE * counts / max(1, counts.sum()) * idf[features]))
-    apart = examples[:: settings.calibration]
-    weights, bias = fit_ftrl([e for k, e in enumerate(examples) if k % settings.calibration], len(languages), 1 << BITS, settings)
+        example = (number[r["lang"]], features, SCALE * counts / max(1, counts.sum()) * idf[features])
+        (examples if r["place"] % settings.calibration else apart).append(example)
+    weights, bias = fit_ftrl(examples, len(languages), 1 << BITS, settings)
     logits = np.array([(x[:, None] * weights[f]).sum(axis=0) + bias for _, f, x in apart]).reshape(-1, len(languages))
     temperature = fit_temperature(logits, np.array([k for k, _, _ in apart], np.int64))
     return Model(languages, (weights * idf[:, None] * SCALE).astype(np.float32), bias, temperature)
 
 
+#: Languages scored at a time.
+SCORED_LANGUAGES = 32
+
+
 def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text the index of the likeliest language, its calibrated probability, and the number of letters."""
     orders, borders, letters = ngrams(texts)
     total = np.zeros((len(texts), len(model.languages)))
     seen = np.zeros(len(texts))
-    padded = np.vstack((model.table, np.zeros((1, len(model.languages)), np.float32)))
+    for a in range(0, len(model.languages), SCORED_LANGUAGES):
+        some = slice(a, a + SCORED_LANGUAGES)
+        padded = np.vstack((model.table[:, some], np.zeros_like(model.table[:1, some])))
+        for features in orders:
+            total[:, some] += np.add.reduceat(padded[features], borders[:-1], axis=0, dtype=np.float64)
     for features in orders:
-        total += np.add.reduceat(padded[features], borders[:-1], axis=0, dtype=np.float64)
         seen += np.add.reduceat(features >= 0, borders[:-1], dtype=np.int64)
     logits = (total / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature
     logits -= logits.max(axis=1, keepdims=True)

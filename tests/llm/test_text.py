@@ -70,6 +70,21 @@ def test_language_edges(spark):
     assert langid.identify_languages(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = np.random.default_rng(14)
+    text = lambda k: " ".join("".join(chr(0x4E00 + 40 * k + c) for c in rng.integers(0, 20, 4)) for _ in range(8))
+    rows = [(f"l{k:02d}", text(k)) for k in range(70) for _ in range(16 if k < 69 else 1)]
+    model = langid.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, lang string, text string"), Scratch(spark, "t"))
+    assert model.languages == tuple(f"l{k:02d}" for k in range(70))
+    best, _, _ = langid.score_texts(model, [text(k) for k in range(69)] + [rows[-1][1]])
+    assert best.tolist() == list(range(70))
+
+
+def test_sample_of_many_languages_is_smaller_for_each():
+    chosen = langid.Training()
+    assert [chosen.rows_of(n) for n in (1, 64, 80, 128, 5000)] == [500, 500, 320, 125, 50]
+
+
 def test_ngrams_by_hand():
     orders, borders, letters = langid.ngrams(["Ab1c", "", "é"])
     assert letters.tolist() == [3, 0, 1]
