@@ -46,8 +46,12 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORDS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
-#: Share of a page's wanted text that its main container covers.
+#: Share of a page's wanted text that the container covers from which an article or main around it is looked for.
 COVERAGE = 0.6
+#: Share that the main container covers where there is neither: text beside it is dropped.
+WHOLE = 0.98
+#: Share under which a page does not follow the path its host voted for.
+LITTLE = 0.05
 
 
 @dataclass
@@ -206,21 +210,26 @@ def parse(source: str, by_name: bool = True) -> Page:
     return page
 
 
+def _score(block: Block) -> int:
+    """The length of a block's text outside links, 0 of an unwanted one."""
+    return max(0, len(block.text) - block.linked) if block.wanted else 0
+
+
 def best_container(page: Page) -> int:
     """The container that holds the main text, -1 if there is none.
 
-    The score of a container is its wanted text outside links. The deepest one
-    with a share of COVERAGE of the page's is the best, the first on ties; of
-    one inside an article, the outermost such article.
+    The score of a container is its wanted text outside links. From the deepest
+    one with a share of COVERAGE of the page's, the first on ties, it goes
+    outwards: to the outermost article around it, else to the outermost main,
+    else to the first with a share of WHOLE.
     """
     scores = [0] * len(page.steps)
     total = 0
     for block in page.blocks:
-        if block.wanted:
-            score = max(0, len(block.text) - block.linked)
-            total += score
-            if block.inside >= 0:
-                scores[block.inside] += score
+        score = _score(block)
+        total += score
+        if block.inside >= 0:
+            scores[block.inside] += score
     for i in range(len(scores) - 1, -1, -1):
         if page.outer[i] >= 0:
             scores[page.outer[i]] += scores[i]
@@ -228,16 +237,22 @@ def best_container(page: Page) -> int:
     if not fit:
         return -1
     best = max(fit, key=lambda i: (page.depth[i], scores[i], -i))
-    article, i = best, best
+    named, i = {}, best
     while i >= 0:
-        if page.tags[i] == "article":
-            article = i
+        named[page.tags[i]] = i
         i = page.outer[i]
-    return article
+    if "article" in named or "main" in named:
+        return named.get("article", named.get("main", -1))
+    while best >= 0 and scores[best] < WHOLE * total:
+        best = page.outer[best]
+    return best
 
 
 def extract(page: Page, path: str | None) -> str:
-    """Wanted blocks inside the containers with this path, else inside the best container, joined by one space."""
+    """Wanted blocks inside the containers with this path, else inside the best container, joined by one space.
+
+    A path with less than a share of LITTLE of the page's text outside links is not followed.
+    """
     for chosen in (path, None):
         if chosen is None:
             best = best_container(page)
@@ -245,10 +260,11 @@ def extract(page: Page, path: str | None) -> str:
                 return " ".join(b.text for b in page.blocks if b.wanted)
             chosen = page.path(best)
         inside = page.at_path(chosen)
-        texts = [b.text for b in page.blocks if b.wanted and b.inside >= 0 and inside[b.inside]]
-        if texts:
+        blocks = [b for b in page.blocks if b.wanted and b.inside >= 0 and inside[b.inside]]
+        if blocks and (path is None or sum(map(_score, blocks)) >= LITTLE * sum(map(_score, page.blocks))):
             break
-    return " ".join(texts)
+        path = None
+    return " ".join(b.text for b in blocks)
 
 
 def main_text(source: str, path: str | None) -> str:

@@ -130,6 +130,32 @@ def test_names_of_whole_pages_are_not_taken_for_their_parts():
     assert htmlmain.main_text("<nav>n</nav>", None) == ""
 
 
+LEAD, STORY = "lead " * 7, "story " * 11
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"<body><div class=lead>{LEAD}</div><div class=body>{STORY}</div></body>",
+        f"<body><div class=x><main><div class=lead>{LEAD}</div><div class=body>{STORY}</div></main><div>x</div></div></body>".replace("<div>x</div>", "<nav>x</nav>"),
+        f"<body><table><tr><td>{LEAD}<td>{STORY}</table></body>",
+        f"<p>{LEAD}</p><div class=body>{STORY}</div>",
+        f"<body><p>{LEAD}</p><div class=body>{STORY}</div></body>",
+    ],
+)
+def test_text_beside_the_largest_container_is_kept_without_article(spark, source):
+    want = f"{LEAD}{STORY}".strip()
+    assert text_of(source) == want
+    pages = spark.createDataFrame([(i, f"http://h/{i}", source) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in htmlmain.extract_main_text(pages, Scratch(spark, "t")).collect()} == {want}
+
+
+def test_a_path_with_little_of_a_page_is_not_followed():
+    page = htmlmain.parse(f"<body><div class=a>by me</div><div class=b>{STORY * 9}</div></body>")
+    assert htmlmain.extract(page, "body/div.a") == (STORY * 9).strip()
+    assert htmlmain.extract(page, "body/div.b") == (STORY * 9).strip()
+
+
 def test_deep_and_unclosed_pages_end():
     assert text_of("<div>" * 30000 + "q") == "q"
     assert text_of("<b>" * 30000 + "q" + "</i>" * 30000) == "q"
