@@ -3,9 +3,10 @@
 Passages of all documents are TF-IDF vectors over the benchmark's words, each
 a column of its own, and hashed columns for all other words. A distributed
 randomised SVD (a sketch summed over all passages, then the Nystrom step on the
-driver) gives the corpus' leading directions; the benchmark's own are added, so
-that each item lies in the latent space. Document windows of an item's length whose
-cosine with it reaches a threshold are candidates. A longest common
+driver) gives the corpus' leading directions, into which items are projected.
+Document windows of an item's length are candidates if their cosine with it over
+the item's own words, and that weighted with the latent one, reach thresholds;
+short items are looked up by their rarest words instead. A longest common
 subsequence, and a check for the item's answer where that is not clear, decide.
 """
 
