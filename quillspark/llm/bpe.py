@@ -15,7 +15,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,14 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .memory import tidy
-from .wordstream import WordEncoder, text_slices
+from .memory import hold, tidy
+from .wordstream import WordEncoder, flattened, text_slices
 
 # The white space and the pre-token pattern of this kind of tokenizer.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
 
 
+# The public byte-level alphabet.
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
@@ -159,19 +159,23 @@ class ForcedBoundaryBPE:
             out += [self.special[part]] if part in self.special else self._plain(part)
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [self.encode(p) for p in pieces]
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and the number of each piece's."""
+        return flattened([self.encode(p) for p in pieces])
 
     def decode(self, ids) -> str:
         """Tokens joined by a space: the file names no decoder."""
         return " ".join([self.token_of[i] for i in ids if i in self.token_of])
 
 
-@lru_cache(maxsize=2)
 def _coder(path: str) -> tuple[ForcedBoundaryBPE, WordEncoder, list[bytes]]:
-    bpe = ForcedBoundaryBPE(path)
-    shown = [bpe.token_of.get(i, "").encode() for i in range(max(bpe.token_of) + 1)]
-    return bpe, WordEncoder(bpe.encode_pieces), shown
+    """Coder, encoder of texts and the bytes of each token; a worker holds them while tasks of these operators follow each other."""
+    def make():
+        bpe = ForcedBoundaryBPE(path)
+        shown = [bpe.token_of.get(i, "").encode() for i in range(max(bpe.token_of) + 1)]
+        return bpe, WordEncoder(bpe.encode_pieces), shown
+
+    return hold(("forced-boundary", path), make)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +195,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out.cast(pa.binary())], ["id", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run, keeps=True), schema).withColumnRenamed("id", id_col)
 
 
 def coded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +227,7 @@ def coded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run, keeps=True), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -235,4 +239,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     schema = T.StructType([T.StructField("id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(tidy(run, keeps=True), schema).withColumnRenamed("id", id_col)

@@ -17,9 +17,27 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task function that calls ``release`` when it ends."""
+_held: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returns, once per worker while tasks of one kind follow each other."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task function that calls ``release`` when it ends.
+
+    Unless it ``keeps`` what ``hold`` gives it, it first lets go of what tasks
+    of other kinds left in the worker: vocabularies, models and caches.
+    """
     def tidied(batches: Iterator) -> Iterator:
+        if not keeps and _held:
+            _held.clear()
+            release()
         try:
             yield from run(batches)
         finally:

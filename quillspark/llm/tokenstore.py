@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import tidy
+from .memory import hold, tidy
 from .scratch import Scratch
-from .wordstream import WordEncoder, text_slices
+from .wordstream import WordEncoder, flattened, text_slices
 
 END_ID = 2
 DIGEST = 16  #: bytes of a BLAKE2b digest
@@ -84,14 +84,63 @@ def chunk_ends(n: int, candidates: np.ndarray) -> list[int]:
     return ends
 
 
-@lru_cache(maxsize=2)
-def _library_coder(path: str) -> WordEncoder:
-    from tokenizers import Tokenizer
+#: Pieces that go to the library in one text.
+JOINED = 2_000
+
+
+class LibraryPieces:
+    """Ids of pieces by the tokenizers library.
+
+    Pieces of letters are words of their own wherever they stand, and the last
+    token of a word has an id of its own kind; so many of them go in as one
+    text, and its ids are told apart by these ends. Where the ends do not tell
+    as many words as went in, and for all other pieces, each is a text.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self._ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self._ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        (coded,) = self._tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        ends = np.flatnonzero(self._ends[np.minimum(ids, len(self._ends) - 1)])
+        if len(ends) != len(pieces) or not len(ends) or ends[-1] != len(ids) - 1:
+            return self._each(pieces)
+        return ids, np.diff(ends, prepend=-1)
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        rest, words = np.flatnonzero(~alone), np.flatnonzero(alone)
+        parts = [(rest, self._each([pieces[i] for i in rest.tolist()]))] if len(rest) else []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            parts.append((some, self._joined([pieces[i] for i in some.tolist()])))
+        n = np.zeros(len(pieces), np.int64)
+        for rows, (_, sizes) in parts:
+            n[rows] = sizes
+        firsts = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), np.uint32)
+        for rows, (own, sizes) in parts:
+            ids[np.repeat(firsts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(own))] = own
+        return ids, n
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return WordEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+def _library_coder(path: str) -> WordEncoder:
+    return hold(("library", path), lambda: WordEncoder(LibraryPieces(path)))
 
 
 @dataclass(frozen=True)
@@ -128,10 +177,21 @@ def _recipe_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
+#: Digests of chunks that a task remembers, to put each out once; beyond, it starts anew.
+SEEN_CHUNKS = 500_000
+
+
 def _encode(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
-    """``(id, n_tokens, sizes, digests, ids)`` per document, END_ID last."""
+    """``(id, n_tokens, sizes, digests, root, ids)``: a row per document, END_ID last, and one per chunk.
+
+    A document's row has no ids. A chunk's row has nothing but its digest, in
+    ``digests``, and its ids; a task puts out each chunk once.
+    """
+    id_type = docs.schema["id"].dataType
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _library_coder(tokenizer)
+        seen: set[bytes] = set()
         for batch in batches:
             for a, b in text_slices(batch.column(1)):
                 bare, counts = coder.encode(batch.column(1).slice(a, b - a))
@@ -141,68 +201,58 @@ def _encode(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
                 cuts = np.flatnonzero((rolling_hash(ids) & np.uint32(MASK)) == 0) + 1
                 data = memoryview(ids.astype(f"<u{width}").tobytes())
                 bounds = np.searchsorted(cuts, np.stack((ends - counts, ends)), side="right")
-                sizes, digests = [], []
+                sizes, digests, roots, chunks, payloads = [], [], [], [], []
                 for start, n, lo, hi in zip((ends - counts).tolist(), counts.tolist(), *bounds.tolist()):
                     own = [0, *chunk_ends(n, cuts[lo:hi] - start)]
+                    leaves = []
+                    for i, j in zip(own, own[1:]):
+                        piece = data[(start + i) * width : (start + j) * width]
+                        leaves.append(key := digest_of(piece))
+                        if key not in seen:
+                            seen.add(key)
+                            chunks.append(key)
+                            payloads.append(piece)
                     sizes.append(np.diff(own).astype("<u4").tobytes())
-                    digests.append(b"".join([digest_of(data[(start + i) * width : (start + j) * width]) for i, j in zip(own, own[1:])]))
-                offsets = np.concatenate(([0], ends)) * width
-                whole = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                    digests.append(b"".join(leaves))
+                    roots.append(merkle_root(leaves))
+                if len(seen) > SEEN_CHUNKS:
+                    seen.clear()
+                own_ids = batch.column(0).slice(a, b - a)
+                none = pa.nulls(len(chunks), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(sizes, pa.binary()), pa.array(digests, pa.binary()), whole.cast(pa.binary())],
-                    ["id", "n_tokens", "sizes", "digests", "ids"],
+                    [own_ids, pa.array(counts, pa.int64()), pa.array(sizes, pa.binary()), pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.nulls(b - a, pa.binary())], names
                 )
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), own_ids.type), pa.nulls(len(chunks), pa.int64()), none, pa.array(chunks, pa.binary()), none, pa.array(payloads, pa.binary())], names)
 
-    schema = T.StructType(
-        [T.StructField("id", docs.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("digests", T.BinaryType()), T.StructField("ids", T.BinaryType())]
-    )
-    return docs.select("id", "text").mapInArrow(tidy(run), schema)
-
-
-def _split_chunks(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, payloads = [], []
-            seen: set[bytes] = set()
-            for sizes, digests, ids in zip(*(batch.column(i) for i in range(3))):
-                data, digests, at = ids.as_py(), digests.as_py(), 0
-                for k, n in enumerate(np.frombuffer(sizes.as_py(), "<u4").tolist()):
-                    key = digests[k * DIGEST : (k + 1) * DIGEST]
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        payloads.append(data[at : at + n * width])
-                    at += n * width
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(payloads, pa.binary())], ["digest", "ids"])
-
-    return run
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "digests", "root", "ids"))])
+    names = schema.names
+    return docs.select("id", "text").mapInArrow(tidy(run, keeps=True), schema)
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Position and running offset of recipes within their sorted partition, and Merkle roots."""
+    """Position and running offset of recipes within their sorted partition."""
     pos = offset = 0
     for batch in batches:
         n = batch.column("n_tokens").to_numpy()
         ends = offset + np.cumsum(n)
-        roots = [merkle_root([d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]) for d in batch.column("digests").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("part"), pa.array(np.arange(pos, pos + len(n))), batch.column("id"), pa.array(ends - n), *(batch.column(c) for c in ("n_tokens", "sizes", "digests")), pa.array(roots, pa.binary())],
+            [batch.column("part"), pa.array(np.arange(pos, pos + len(n))), batch.column("id"), pa.array(ends - n), *(batch.column(c) for c in ("n_tokens", "sizes", "digests", "root"))],
             ["part", "pos", "id", "offset", "n_tokens", "sizes", "digests", "root"],
         )
         pos += len(n)
         offset = int(ends[-1]) if len(n) else offset
 
 
-def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest over the document roots of each run of rows of a part, in order."""
-    for batch in batches:
-        parts = batch.column("part").to_numpy()
-        for part in np.unique(parts).tolist():
-            rows = np.flatnonzero(parts == part)
-            roots = batch.column("root").take(pa.array(rows)).to_pylist()
-            n = int(batch.column("n_tokens").take(pa.array(rows)).to_numpy().sum())
-            first = batch.column("pos")[int(rows[0])].as_py()
-            yield pa.RecordBatch.from_pylist([{"part": part, "first": first, "n_docs": len(rows), "n_tokens": n, "root": merkle_root(roots)}], schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
+#: Documents of a part under one inner node of its Merkle tree.
+FAN_OUT = 1024
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root): SHA-256 over the nodes of runs of FAN_OUT documents, each over its documents' roots, in order."""
+    node = F.sha2(F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "root"))), F.unhex(F.lit("")), lambda done, x: F.concat(done, x["root"])), 256)
+    nodes = recipes.groupBy("part", F.floor(F.col("pos") / FAN_OUT).alias("run")).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), node.alias("node"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "node"))), lambda x: x["node"]), ""), 256)
+    return nodes.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.unhex(whole).alias("root"))
 
 
 def write_store(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", n_ids: int = 1 << 16) -> TokenStore:
@@ -224,20 +274,19 @@ def write_store(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str =
     store = TokenStore(spark, scratch.uri, width, docs.schema["id"].dataType)
     encoded = scratch.table(_encode(docs, tokenizer, width), "encoded")
 
-    chunks = encoded.select("sizes", "digests", "ids").mapInArrow(tidy(_split_chunks(width)), "digest binary, ids binary")
+    # a task has put each of its chunks out once: a map-side combine would sort payloads for nothing
+    chunks = encoded.filter("ids is not null").select(F.col("digests").alias("digest"), "ids").repartition("digest")
     scratch.table(chunks.groupBy("digest").agg(F.first("ids").alias("ids")), "chunks")
     order = ["id", "n_tokens", "digests"]
-    ranged = encoded.select("id", "n_tokens", "sizes", "digests").repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_place, _recipe_schema(store.id_type))
+    ranged = encoded.filter("ids is null").select("id", "n_tokens", "sizes", "digests", "root").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(tidy(_place), _recipe_schema(store.id_type))
     recipes = scratch.table(placed, "recipes")
     scratch.drop("encoded")
 
-    runs = recipes.select("part", "pos", "n_tokens", "root").mapInArrow(_part_roots, "part int, first long, n_docs long, n_tokens long, root binary")
-    parts = runs.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("first", "root"))).alias("roots"))
-    # one row per part from here on; a part's runs are its Arrow batches
+    # one row per part from here on
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    joined = F.expr("aggregate(roots, '', (a, r) -> concat(a, hex(r.root)))")
-    scratch.table(parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "n_docs", "n_tokens", F.unhex(F.sha2(joined, 256)).alias("root")), "manifest")
+    base = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
+    scratch.table(_part_roots(recipes).select("part", base.alias("base"), "n_docs", "n_tokens", "root"), "manifest")
     return store
 
 
@@ -320,6 +369,18 @@ def _recipe_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(spread[0], pa.int32()), pa.array(spread[1], pa.int64()), pa.array(digests, pa.binary()), pa.array(n), pa.array(last - ends)], ["part", "pos", "digest", "n", "after"])
 
 
+def _lines(recipes: DataFrame) -> DataFrame:
+    return recipes.select("part", "pos", "sizes", "digests", "root", "n_tokens").mapInArrow(tidy(_recipe_lines), "part int, pos long, digest binary, n long, after long")
+
+
+def verify_parts(store: TokenStore) -> None:
+    """Raise StoreDamaged unless the recipes of every part have the root, number and length that the manifest says."""
+    told = store.manifest().select("part", F.struct("n_docs", "n_tokens", "root").alias("told"))
+    met = _part_roots(store.recipes()).select("part", F.struct("n_docs", "n_tokens", "root").alias("met")).join(told, "part", "full")
+    for row in met.filter(~F.col("told").eqNullSafe(F.col("met"))).limit(1).collect():
+        raise StoreDamaged(f"part {row['part']}")
+
+
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crc = shift_crc(batch.column("crc").to_numpy(), batch.column("after").to_numpy())
@@ -329,15 +390,18 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(store: TokenStore, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
     """``(id, start, n_tokens, ids_crc32)`` of every document, from the files.
 
-    Every chunk is checked against its digest and every recipe against its
-    Merkle root. A document's CRC is the exclusive or of its chunks' CRCs, each
-    moved over the ids behind it, so ids themselves are not shuffled again. A
-    missing chunk or a wrong length leaves a null, which raises.
+    Every part is checked against its root in the manifest, every recipe
+    against its own root and every chunk against its digest. A document's CRC
+    is the exclusive or of its chunks' CRCs, each moved over the ids behind it,
+    so ids themselves are not shuffled again. A missing chunk or a wrong length
+    leaves a null, which raises.
     """
-    facts = scratch.table(store.chunks().mapInArrow(_chunk_facts(store.width), "digest binary, n long, crc long"), "facts")
-    lines = store.recipes().select("part", "pos", "sizes", "digests", "root", "n_tokens").mapInArrow(_recipe_lines, "part int, pos long, digest binary, n long, after long")
-    met = lines.join(facts, ["digest", "n"]).select("part", "pos", "n", "crc", "after")
-    whole = met.mapInArrow(_moved, "part int, pos long, n long, crc long").groupBy("part", "pos").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
+    verify_parts(store)
+    facts = scratch.table(store.chunks().mapInArrow(tidy(_chunk_facts(store.width)), "digest binary, n long, crc long"), "facts")
+    lines = _lines(store.recipes())
+    # never broadcast: both sides grow with the documents, and a stage of two Python workers a task takes twice the memory
+    met = lines.join(facts.hint("merge"), ["digest", "n"]).select("part", "pos", "n", "crc", "after")
+    whole = met.mapInArrow(tidy(_moved), "part int, pos long, n long, crc long").groupBy("part", "pos").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
     recipes = store.recipes().select("part", "pos", "id", "offset", "n_tokens")
     agreed = F.when(F.col("n") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("chunks missing of document "), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
     out = recipes.join(whole, ["part", "pos"], "left").join(F.broadcast(store.manifest().select("part", "base")), "part")
@@ -349,8 +413,7 @@ def reconstruct(store: TokenStore, ids: DataFrame | None = None, id_col: str = "
     recipes = store.recipes()
     if ids is not None:
         recipes = recipes.join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    lines = recipes.select("part", "pos", "sizes", "digests", "root", "n_tokens").mapInArrow(_recipe_lines, "part int, pos long, digest binary, n long, after long")
-    pieces = lines.join(store.chunks().withColumnRenamed("ids", "piece"), "digest").groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct(F.expr("-after").alias("at"), "piece"))).alias("pieces"))
+    pieces = _lines(recipes).join(store.chunks().withColumnRenamed("ids", "piece").hint("merge"), "digest").groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct(F.expr("-after").alias("at"), "piece"))).alias("pieces"))
 
     width = store.width
 
@@ -359,5 +422,5 @@ def reconstruct(store: TokenStore, ids: DataFrame | None = None, id_col: str = "
             out = [np.frombuffer(b"".join(p["piece"] for p in row), f"<u{width}").astype("<u4").tobytes() for row in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("pos"), pa.array(out, pa.binary())], ["part", "pos", "ids"])
 
-    whole = pieces.mapInArrow(join_pieces, "part int, pos long, ids binary")
+    whole = pieces.mapInArrow(tidy(join_pieces), "part int, pos long, ids binary")
     return recipes.select("part", "pos", F.col("id").alias(id_col)).join(whole, ["part", "pos"]).select(id_col, "ids")

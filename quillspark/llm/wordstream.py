@@ -12,16 +12,16 @@ longer) and by ``CACHE_PIECES``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together until they hold so many bytes.
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 2_500_000
 #: Distinct pieces whose ids a Python worker remembers; beyond, it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 # A word of these characters alone is its own NFC form and holds no contraction
 # and no special token, so a letter next to a non-letter is a sure border.
@@ -38,10 +38,16 @@ def ragged_take(flat: np.ndarray, first: np.ndarray, n: np.ndarray, rows: np.nda
     return flat[at], ends
 
 
+def flattened(coded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and the length of each."""
+    n = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter(chain.from_iterable(coded), np.uint32, int(n.sum())), n
+
+
 class WordEncoder:
-    """Encodes columns of texts; ``encode_pieces`` gives the ids of new pieces."""
+    """Encodes columns of texts; ``encode_pieces`` gives the ids of new pieces, end to end, and how many each has."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Sequence[Sequence[int]]]):
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self._encode = encode_pieces
         self._forget()
 
@@ -62,9 +68,7 @@ class WordEncoder:
             new = [pieces[i] for i in missing.tolist()]
             rows[missing] = np.arange(len(self._row), len(self._row) + len(new))
             self._row.update(zip(new, rows[missing].tolist()))
-            coded = self._encode(new)
-            n = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids = np.fromiter((i for one in coded for i in one), np.uint32, int(n.sum()))
+            ids, n = self._encode(new)
             self._first = np.concatenate((self._first, len(self._ids) + np.cumsum(n) - n))
             self._n = np.concatenate((self._n, n))
             self._ids = np.concatenate((self._ids, ids))

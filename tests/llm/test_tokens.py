@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,23 @@ ODD = [
 ROWS = [(i, t, "extra") for i, t in enumerate(ODD)] + [(3, ODD[3], "again"), (None, "no id", "x")]
 
 
-@pytest.fixture(scope="module")
-def library():
+@lru_cache(maxsize=1)
+def _library():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(PATH)
 
 
+@lru_cache(maxsize=1)
+def _pieces():
+    return tokenstore.LibraryPieces(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return _library()
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.ForcedBoundaryBPE(PATH)
@@ -127,6 +138,58 @@ def test_a_damaged_chunk_is_found(spark, docs):
         tokenstore.read_digests(broken, scratch).collect()
 
 
+def _stored(spark, docs):
+    scratch = Scratch(spark, "t")
+    store = tokenstore.write_store(docs, PATH, scratch)
+
+    def change(name, how):
+        stored = spark.read.parquet(scratch.path(name))
+        rows = spark.createDataFrame(how([r.asDict() for r in stored.collect()]), stored.schema)
+        rows.write.mode("overwrite").parquet(scratch.path(name))
+
+    return store, scratch, change
+
+
+def test_damage_to_recipes_and_manifest_is_found(spark, docs):
+    def other_root(recipes):
+        return [recipes[0] | {"root": tokenstore.digest_of(b"other")}, *recipes[1:]]
+
+    def other_order(recipes):
+        return [r | {"pos": 1000 - r["pos"]} for r in recipes]
+
+    changes = {"recipes": [other_root, other_order, lambda r: r[1:]], "manifest": [lambda m: m[1:], lambda m: [m[0] | {"n_docs": m[0]["n_docs"] + 1}, *m[1:]]]}
+    for name, ways in changes.items():
+        for how in ways:
+            store, scratch, change = _stored(spark, docs)
+            change(name, how)
+            with pytest.raises(tokenstore.StoreDamaged, match="part"):
+                tokenstore.read_digests(store, scratch)
+
+
+def test_a_missing_chunk_is_found(spark, docs):
+    store, scratch, change = _stored(spark, docs)
+    change("chunks", lambda c: c[1:])
+    with pytest.raises(Exception, match="chunks missing of document"):
+        tokenstore.read_digests(store, scratch).collect()
+
+
+def test_a_recipe_that_disagrees_with_its_root_is_found(spark, docs):
+    store, scratch, change = _stored(spark, docs)
+
+    change("recipes", lambda recipes: [r | {"digests": r["digests"][:-1] + bytes([r["digests"][-1] ^ 1])} for r in recipes])
+    with pytest.raises(Exception, match="StoreDamaged"):
+        tokenstore.read_digests(store, scratch).collect()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aeéİǅﬁ'12")), min_size=1, max_size=12), max_size=12))
+def test_pieces_together_are_coded_as_alone(pieces):
+    own = [p for p in pieces if not any(c.isspace() or ord(c) < 33 for c in p)]
+    ids, n = _pieces()(own)
+    want = [_library().encode(p, add_special_tokens=False).ids for p in own]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_an_empty_store(spark, docs):
     scratch = Scratch(spark, "t")
     assert tokenstore.read_digests(tokenstore.write_store(docs.limit(0), PATH, scratch), scratch).count() == 0
