@@ -2,8 +2,9 @@
 
 Features are hashed character n-grams weighted by TF-IDF. Document frequencies
 cover all labelled training rows; every labelled language is learned. The
-regression is fitted on a sample, of bounded rows a language, by follow-the-regularised-leader with an elastic-net penalty, and a
-temperature fitted on rows kept apart calibrates its probabilities.
+regression is fitted on a sample, of bounded rows a language, by
+follow-the-regularised-leader with an elastic-net penalty, and a temperature
+fitted on rows kept apart calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -109,25 +110,45 @@ def _text_list(column: pa.Array, a: int, b: int) -> list[str]:
     return column.slice(a, b - a).fill_null("").to_pylist()
 
 
-def _gather_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse counts of the sampled rows, then one row with the task's document frequencies."""
-    frequency = np.zeros(1 << BITS, np.int64)
-    names = ["lang", "features", "counts"]
-    for batch in batches:
-        langs, sampled = batch.column(0), batch.column(2).to_pylist()
-        for a, b in text_slices(batch.column(1)):
-            orders, borders, _ = ngrams(_text_list(batch.column(1), a, b))
-            rows = []
-            for t, (lo, hi) in enumerate(zip(borders, borders[1:])):
-                own = np.concatenate([f[lo:hi] for f in orders])
-                counts = np.bincount(own[own >= 0], minlength=1 << BITS)
-                present = np.flatnonzero(counts)
-                frequency[present] += 1
-                if sampled[a + t]:
-                    rows.append((langs[a + t].as_py(), present.astype("<u4").tobytes(), counts[present].astype("<u4").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary()))], names)
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([frequency.astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
+SPARSE = "lang string, mark long, features binary, counts binary"
+
+
+def _gather_statistics(per_language: int):
+    """Sparse counts of the task's sampled rows, then one row with its document frequencies.
+
+    Of a language's sampled rows a task keeps those with the smallest marks, a
+    hash of the counts, as many as the whole sample has of it: copies of one
+    row, however many there are, have one mark and are as good as each other.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        frequency = np.zeros(1 << BITS, np.int64)
+        kept: dict[str, list[tuple[int, bytes, bytes]]] = {}
+        for batch in batches:
+            langs, sampled = batch.column(0), batch.column(2).to_pylist()
+            for a, b in text_slices(batch.column(1)):
+                orders, borders, _ = ngrams(_text_list(batch.column(1), a, b))
+                for t, (lo, hi) in enumerate(zip(borders, borders[1:])):
+                    own = np.concatenate([f[lo:hi] for f in orders])
+                    counts = np.bincount(own[own >= 0], minlength=1 << BITS)
+                    present = np.flatnonzero(counts)
+                    frequency[present] += 1
+                    if sampled[a + t]:
+                        row = (present.astype("<u4").tobytes(), counts[present].astype("<u4").tobytes())
+                        mark = xxhash.xxh64_intdigest(row[0] + row[1]) - (1 << 63)
+                        mine = kept.setdefault(langs[a + t].as_py(), [])
+                        mine.append((mark, *row))
+                        if len(mine) >= 2 * per_language:
+                            mine.sort()
+                            del mine[per_language:]
+        names = ["lang", "mark", "features", "counts"]
+        for lang, mine in kept.items():
+            marks, features, counts = zip(*sorted(mine)[:per_language])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(marks)), pa.array(marks, pa.int64()), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([frequency.astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
+
+    return run
 
 
 def _sum_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,28 +208,29 @@ def train(labelled: DataFrame, scratch: Scratch, settings: Training = Training()
 
     Document frequencies are of all these rows, in one pass that also gathers
     the sparse counts of the sample: about twice ``Training.rows_of`` rows of each
-    language by the hash of their id, then the first so many of them. Every
-    language with a row is a class; a language's fifth, tenth, ... row is kept
-    apart, so that one of few rows has all of them in the fit. The driver's
-    memory and a step's time grow with the number of languages.
+    language by a hash of id and text, and the rows with its smallest hash
+    whatever the share, so that no language goes unlearned; then the first so
+    many of them. Repeated rows are rows like any others. A language's fifth,
+    tenth, ... row is kept apart, so that one of few rows has all of them in the
+    fit. The driver's memory and a step's time grow with the number of languages.
     """
     rows = labelled.filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
+    spread = F.xxhash64(F.col("id").cast("string"), "text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(spread).alias("least")).orderBy("lang").collect()
     if not sizes:
         return None
-    spread = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     per_language = settings.rows_of(len(sizes))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))))[F.col("lang")]
-    gathered = scratch.table(rows.select("lang", "text", (spread < share).alias("sampled")).mapInArrow(tidy(_gather_statistics), "lang string, features binary, counts binary"), "statistics")
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], max(r["least"], min(1.0, 2.0 * per_language / r["n"])))))[F.col("lang")]
+    gathered = scratch.table(rows.select("lang", "text", (spread <= share).alias("sampled")).mapInArrow(tidy(_gather_statistics(per_language)), SPARSE), "statistics")
 
     frequency = np.zeros(1 << BITS, np.int64)
     for r in gathered.filter("lang is null").select("features").repartition(settings.reducers).mapInArrow(_sum_frequencies, "features binary").collect():
         frequency += np.frombuffer(r["features"], "<i8")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("features", "counts"), "features", "counts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "features", "counts"))
     sample = gathered.filter("lang is not null").withColumn("place", place).filter(F.col("place") <= per_language).orderBy("lang", "place").collect()
 
     languages = tuple(sorted({r["lang"] for r in sample}))
-    idf = np.log((1 + sum(r["count"] for r in sizes)) / (1 + frequency)) + 1
+    idf = np.log((1 + sum(r["n"] for r in sizes)) / (1 + frequency)) + 1
     number = {lang: k for k, lang in enumerate(languages)}
     examples, apart = [], []
     for r in sample:
