@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import hold, tidy
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 
@@ -59,8 +61,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _role(shown: str) -> str:
-    out = "\\".join(part.replace("\\n", "\n").replace("<\\|", "<|") for part in shown.split("\\\\"))
-    return out
+    return "\\".join(part.replace("\\n", "\n").replace("<\\|", "<|") for part in shown.split("\\\\"))
 
 
 def loss_spans(tokens: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -83,21 +84,23 @@ def loss_spans(tokens: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    """The tokenizer with the control strings as tokens; a worker holds it while tasks of this operator follow each other."""
+    def make():
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.add_special_tokens([START, END])
+        return tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.add_special_tokens([START, END])
-    return tokenizer
+    return hold(("chat", path), make)
 
 
-def _whole_conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
-    """Conversations out of rows sorted by conversation; one is held at a time."""
+def _whole_conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
+    """Conversations out of rows (conv_id, role, text) sorted by conversation; one is held at a time."""
     key, turns, begun = None, [], False
     for batch in batches:
-        for conv, role, text in zip(batch["conv_id"].array, batch["role"], batch["text"]):
-            conv = None if pd.isna(conv) else int(conv)
+        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if not begun or conv != key:
                 if begun:
                     yield key, turns
@@ -118,6 +121,10 @@ FORMATTED = T.StructType(
 )
 
 
+_INTS = pa.list_(pa.int32())
+_FORMATTED = {"conv_id": pa.int64(), "formatted": pa.string(), "input_ids": _INTS, "loss_start": _INTS, "loss_stop": _INTS}
+
+
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """Render and encode conversations given as rows (conv_id, turn, role, text).
 
@@ -131,29 +138,27 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     shuffle by conv_id; a task streams through its sorted rows and holds one
     conversation at a time, as a rendering is encoded whole.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(tokenizer).encode
         rows, size = [], 0
         for conv, said in _whole_conversations(batches):
             formatted, spans = render(said)
             coded = encode(formatted, add_special_tokens=False)
-            clipped = loss_spans(np.array(coded.offsets, np.int64).reshape(-1, 2), spans)
-            rows.append((conv, formatted, np.array(coded.ids, np.int32), clipped[:, 0].astype(np.int32), clipped[:, 1].astype(np.int32)))
+            clipped = loss_spans(np.array(coded.offsets, np.int64).reshape(-1, 2), spans).astype(np.int32)
+            rows.append((conv, formatted, np.array(coded.ids, np.int32), clipped[:, 0], clipped[:, 1]))
             size += len(formatted)
             if size > 2_000_000:
-                yield _frame(rows, FORMATTED.names)
+                yield _batch(rows, _FORMATTED)
                 rows, size = [], 0
         if rows:
-            yield _frame(rows, FORMATTED.names)
+            yield _batch(rows, _FORMATTED)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInPandas(run, FORMATTED)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(run, keeps=True), FORMATTED)
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
 
 DIGESTS = T.StructType(
@@ -170,6 +175,9 @@ DIGESTS = T.StructType(
 )
 
 
+_DIGESTS = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "n_loss_tokens": pa.int64()}
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what ``format_conversations`` put out, from its columns alone.
 
@@ -177,13 +185,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     masks cover, unescaped. Neighbouring masked code points belong together, so
     an escape that two tokens share is undone whole.
     """
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            masks = [_runs(batch.column(c)) for c in ("loss_start", "loss_stop")]
             rows = []
-            for conv, text, starts, stops in zip(batch["conv_id"].array, batch["formatted"], batch["loss_start"], batch["loss_stop"]):
+            for conv, text, n_tokens, starts, stops in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), pc.list_value_length(batch.column("input_ids")).to_pylist(), *masks):
                 said, loss = parse(text), hashlib.sha256()
                 turns = hashlib.sha256("".join(f"{role}\n{body}\n" for role, body in said).encode())
-                starts, stops = np.asarray(starts), np.asarray(stops)
                 used = stops > starts
                 starts, stops = starts[used], stops[used]
                 gaps = np.flatnonzero(starts[1:] != stops[:-1])
@@ -193,9 +201,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                         body = unescape(text[a:b])
                         n_chars += len(body)
                         loss.update(body.encode())
-                rows.append((conv, len(said), turns.hexdigest(), n_chars, loss.hexdigest(), len(text), 0, int(used.sum())))
-            out = _frame(rows, DIGESTS.names)
-            out["n_tokens"] = [len(x) for x in batch["input_ids"]]
-            yield out
+                rows.append((conv, len(said), turns.hexdigest(), n_chars, loss.hexdigest(), len(text), n_tokens, int(used.sum())))
+            if rows:
+                yield _batch(rows, _DIGESTS)
+
+    return formatted.mapInArrow(tidy(digest, keeps=True), DIGESTS)
+
 
-    return formatted.mapInPandas(digest, DIGESTS)
+def _runs(lists: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list."""
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
