@@ -3,11 +3,14 @@
 Passages of all documents are TF-IDF vectors over the benchmark's words, each
 a column of its own, and hashed columns for all other words. A distributed
 randomised SVD (a sketch summed over all passages, then the Nystrom step on the
-driver) gives the corpus' leading directions, into which items are projected.
-Document windows of an item's length are candidates if their cosine with it over
-the item's own words, and that weighted with the latent one, reach thresholds;
-short items are looked up by their rarest words instead. A longest common
-subsequence, and a check for the item's answer where that is not clear, decide.
+driver) gives the corpus' leading directions. To them come the leading
+directions of what the items' own TF-IDF vectors have beside them; together
+they span the latent space. Document windows of an item's length are candidates
+if their cosine with it in that space reaches a threshold: words that neither
+the corpus' topics nor any item has weigh nothing there, so a window with other
+words for some of an item's stays near it. Items of few words are looked up by
+their rarest words instead. A longest common subsequence, and a check for the
+item's answer where that is not clear, decide.
 """
 
 from __future__ import annotations
@@ -34,20 +37,22 @@ class Decontamination:
     hashed: int = 8192  #: columns for words that the benchmark does not have
     passage: int = 32  #: words in a passage of the decomposition
     rank: int = 20  #: leading directions of the corpus
-    latent: float = 0.2  #: weight of the cosine in the latent space
-    step: int = 8  #: words between the starts of windows
-    cosine: float = 0.5  #: weighted cosine of a candidate window at least
+    item_rank: int = 256  #: leading directions of a block's items beside those
+    step: int = 8  #: words of a cell; windows are runs of cells that overlap by half at least
+    cosine: float = 0.6  #: cosine of a candidate window with its item in the latent space at least
     surely: float = 0.8  #: share of an item's words in the common subsequence that settles it
     perhaps: float = 0.6  #: share that settles it where the answer is there too
     answer_words: int = 8  #: the answer is an item's last sentence, or so many last words of it
     answer_share: float = 0.8  #: share of the answer's words that must be there in order
     short: int = 16  #: items of so many words at most (16 or fewer) are looked up by their rarest words
-    block_items: int = 256  #: items searched for in one pass
+    block_items: int = 512  #: items searched for in one pass
     reducers: int = 8  #: partial sums are combined to so many before the driver
 
 
-#: Words that are turned into dense rows at a time.
-SLICE_WORDS = 32_768
+#: Words that are turned into dense rows at a time, of the search and of the sketch.
+SLICE_WORDS, PASS_WORDS = 32_768, 262_144
+#: The largest entry of the stored directions: eight of them add up within 16 bits.
+QUANTA = 4_000
 #: Occurrences of short items' words that are looked around at a time.
 LOOKUPS = 8_192
 
@@ -167,6 +172,23 @@ def _summed(df: DataFrame, kind: str, size: int, reducers: int) -> np.ndarray:
     return np.sum([np.zeros(size, kind), *parts], axis=0, dtype=np.float64 if "f" in kind else np.int64)
 
 
+def sums_of_rows(table: np.ndarray, columns: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> np.ndarray:
+    """Sums of the table's rows at ``columns``, grouped by ``rows``: ascending, none with more than ``size``. The table's last row is zero."""
+    firsts = np.searchsorted(rows, np.arange(n_rows))
+    index = np.full((size, n_rows), len(table) - 1, np.int64)
+    index[np.arange(len(rows)) - firsts[rows], rows] = columns
+    out = table[index[0]]
+    part = np.empty_like(out)
+    for own in index[1:]:
+        out += np.take(table, own, axis=0, out=part, mode="clip")
+    return out
+
+
+def padded(table: np.ndarray) -> np.ndarray:
+    """The table with a row of zeros at its end."""
+    return np.concatenate((table, np.zeros_like(table[:1])))
+
+
 def _gram_times(shared, size: int, tokens_stored: str):
     """One row: the task's part of A^T A Q, A being the TF-IDF matrix of all passages.
 
@@ -174,17 +196,14 @@ def _gram_times(shared, size: int, tokens_stored: str):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, weighted = shared.value
-        total = np.zeros(weighted.shape, np.float32)
+        total = np.zeros((len(idf), weighted.shape[1]), np.float32)
         for batch in batches:
-            for counts, columns in _slices(batch.column(0), tokens_stored):
+            for counts, columns in _slices(batch.column(0), tokens_stored, PASS_WORDS):
                 rows, n_rows = passage_rows(counts, size)
-                firsts = np.flatnonzero(np.diff(rows, prepend=-1))
-                scale = 1 / np.add.reduceat(idf[columns] ** 2, firsts)
-                sketch = np.add.reduceat(weighted[columns], firsts, axis=0) * scale[:, None]
-                by_column = np.argsort(columns, kind="stable")
-                sorted_columns = columns[by_column]
-                bounds = np.flatnonzero(np.diff(sorted_columns.astype(np.int32), prepend=-1))
-                total[sorted_columns[bounds]] += np.add.reduceat(sketch[rows[by_column]], bounds, axis=0)
+                scale = 1 / np.maximum(1e-12, np.bincount(rows, idf[columns] ** 2, n_rows))
+                sketch = sums_of_rows(weighted, columns, rows, n_rows, size) * scale[:, None].astype(np.float32)
+                for d in range(weighted.shape[1]):
+                    total[:, d] += np.bincount(columns, np.ascontiguousarray(sketch[:, d])[rows], len(total))
         yield pa.RecordBatch.from_arrays([pa.array([(total * idf[:, None]).astype("<f4").tobytes()], pa.binary())], ["data"])
 
     return run
@@ -197,9 +216,9 @@ def _joined(data: pa.Array, stored: str) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.frombuffer(b"".join(parts), stored)
 
 
-def _slices(data: pa.Array, stored: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``_joined`` of about SLICE_WORDS words at a time, without empty slices."""
-    for a, b in text_slices(data, SLICE_WORDS * np.dtype(stored).itemsize):
+def _slices(data: pa.Array, stored: str, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_joined`` of about so many words at a time, without empty slices."""
+    for a, b in text_slices(data, words * np.dtype(stored).itemsize):
         counts, columns = _joined(data.slice(a, b - a), stored)
         if len(columns):
             yield counts, columns
@@ -218,19 +237,22 @@ def leading_directions(gram: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return left.astype(np.float32)
 
 
-def common_subsequence(pattern: list, text: list) -> int:
-    """Length of the longest common subsequence, by bit-parallel dynamic programming."""
-    where: dict = {}
-    for i, w in enumerate(pattern):
-        where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
-    row = full
-    for w in text:
-        hit = where.get(w)
-        if hit:
+class Pattern:
+    """Words that are looked for in order; ``bits`` has, for each, the places where it stands."""
+
+    def __init__(self, words: list[int]):
+        self.words, self.size = words, len(words)
+        self.bits: dict[int, int] = {}
+        for i, w in enumerate(words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << i
+
+    def common(self, text: list[int]) -> int:
+        """Length of the longest common subsequence, by bit-parallel dynamic programming."""
+        full = row = (1 << self.size) - 1
+        for hit in filter(None, map(self.bits.get, text)):
             matched = row & hit
             row = ((row + matched) | (row - matched)) & full
-    return len(pattern) - row.bit_count()
+        return self.size - row.bit_count()
 
 
 @dataclass(frozen=True)
@@ -239,7 +261,6 @@ class Group:
 
     span: int  #: window length in steps
     items: np.ndarray
-    scores: np.ndarray  #: [column, item]: what a word adds to the inner product with the item
 
 
 @dataclass(frozen=True)
@@ -260,12 +281,14 @@ class Items:
     """Prepared items of a block."""
 
     ids: list
-    words: list[list[int]]
-    answers: list[list[int]]
+    words: list[Pattern]
+    answers: list[Pattern]
     groups: list[Group]  #: by window length, ascending
-    caps: np.ndarray  #: [column, group]: the most that a word adds to any item of the group
     idf2: np.ndarray
-    directions: np.ndarray  #: [column, direction], times idf
+    directions: np.ndarray  #: [column, direction] of 16 bits, in units of ``quantum``: times idf, those of the corpus first; zeros last
+    quantum: float
+    screen: np.ndarray  #: [column, ...] of 16 bits: the corpus directions, then what a word adds to the inner product with each grouped item, in units of ``quantum``
+    corpus: int  #: how many directions are the corpus'
     latent: np.ndarray  #: [item, direction], rows of length one
     short: Short | None = None  #: items that are not in ``groups``
 
@@ -296,40 +319,70 @@ def _short_items(mine: np.ndarray, words: list[list[int]], idf: np.ndarray, scor
     return Short(mine, least, np.cumsum(many) - many, many, places, masks, scores.astype(np.float32))
 
 
+def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], corpus: np.ndarray, item_rank: int) -> np.ndarray:
+    """Orthonormal directions [column, direction]: the corpus', then the leading ones of the rows' parts outside them.
+
+    Rows are sparse (columns, values). The latter come from the eigenvectors of
+    the rows' Gram matrix, so nothing of rows times columns is made.
+    """
+    shares = np.stack([values @ corpus[columns] for columns, values in rows])
+    gram = -(shares @ shares.T)
+    by_column: dict[int, list[tuple[int, float]]] = {}
+    for k, (columns, values) in enumerate(rows):
+        for c, v in zip(columns.tolist(), values.tolist()):
+            by_column.setdefault(c, []).append((k, v))
+    for met in by_column.values():
+        at, values = np.array([k for k, _ in met]), np.array([v for _, v in met])
+        gram[np.ix_(at, at)] += np.outer(values, values)
+    strength, turn = np.linalg.eigh(gram)
+    keep = np.flatnonzero(strength > 1e-6 * max(1e-300, strength.max()))[::-1][:item_rank]
+    turn = turn[:, keep] / np.sqrt(strength[keep])
+    own = -(corpus @ (shares.T @ turn))
+    for k, (columns, values) in enumerate(rows):
+        own[columns] += np.outer(values, turn[k])
+    return np.hstack((corpus, own)).astype(np.float32)
+
+
 def prepare(items: list[tuple[object, str]], tokens: Columns, idf: np.ndarray, corpus: np.ndarray, settings: Decontamination) -> Items:
     """Tables for a block of items."""
     words = [tokens.of_text(words_of(t)) for _, t in items]
     answers = [tokens.of_text(answer_of(t, settings.answer_words)) for _, t in items]
-    matrix = np.zeros((len(items), tokens.width), np.float32)
-    for k, own in enumerate(words):
-        np.add.at(matrix[k], own, idf[own])
-    matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
-    latent = matrix @ corpus
+    rows = []
+    for own in words:
+        columns, many = np.unique(own, return_counts=True)
+        values = many * idf[columns]
+        rows.append((columns, values / np.linalg.norm(values)))
+    space = latent_space(rows, corpus, settings.item_rank)
+    latent = np.stack([values @ space[columns] for columns, values in rows])
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
+    directions = space * idf[:, None]
+    quantum = float(np.abs(directions).max() / QUANTA) or 1.0
     sizes = np.array([len(w) for w in words])
     brief = sizes <= min(16, settings.short)
     lengths = np.where(brief, 0, np.maximum(1, np.rint(sizes / settings.step).astype(int)))
-    groups = []
-    for n in np.unique(lengths[~brief]).tolist():
-        mine = np.flatnonzero(lengths == n)
-        groups.append(Group(n, mine, np.ascontiguousarray((matrix[mine] * idf).T.astype(np.float32))))
-    caps = np.stack([g.scores.max(axis=1) for g in groups], axis=1) if groups else np.zeros((tokens.width, 0), np.float32)
+    groups = [Group(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths[~brief]).tolist()]
+    grouped = np.concatenate([g.items for g in groups]) if groups else np.empty(0, np.int64)
+    screen = np.empty((tokens.width, corpus.shape[1] + len(grouped)), np.int16)
+    screen[:, : corpus.shape[1]] = np.rint(directions[:, : corpus.shape[1]] / quantum)
+    for at in range(0, tokens.width, 8192):
+        screen[at : at + 8192, corpus.shape[1] :] = np.clip(np.rint(directions[at : at + 8192] @ latent[grouped].T / quantum), -QUANTA, QUANTA)
     mine = np.flatnonzero(brief)
-    short = _short_items(mine, words, idf, matrix[mine] * idf, settings)
-    return Items([i for i, _ in items], words, answers, groups, caps, (idf * idf).astype(np.float32), (corpus * idf[:, None]).astype(np.float32), latent.astype(np.float32), short)
-
-
-def _window_sums(sums: np.ndarray, at: np.ndarray, reach: np.ndarray, span: int) -> np.ndarray:
-    """Sums over the cells at, at + 1, ... of windows of ``span`` cells, cut at ``reach``."""
-    out = sums[at].copy()
-    for shift in range(1, span):
-        inside = np.flatnonzero(reach[at] > shift)
-        out[inside] += sums[at[inside] + shift]
-    return out
+    scores = np.zeros((len(mine), tokens.width), np.float32)
+    for place, k in enumerate(mine.tolist()):
+        columns, values = rows[k]
+        scores[place, columns] = values * idf[columns]
+    short = _short_items(mine, words, idf, scores, settings)
+    return Items(
+        [i for i, _ in items], [Pattern(w) for w in words], [Pattern(w) for w in answers], groups, (idf * idf).astype(np.float32),
+        padded(np.rint(directions / quantum).astype(np.int16)), quantum, padded(screen), corpus.shape[1], latent.astype(np.float32), short,
+    )
 
 
 def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings: Decontamination) -> Iterator[tuple[int, int, int, int, float]]:
-    """(document, item, first word, last word, cosine) of windows at or over the threshold, in a slice of documents."""
+    """(document, item, first word, last word, cosine) of windows at or over the threshold, in a slice of documents.
+
+    Only windows whose bound reaches the threshold are projected whole.
+    """
     if not items.groups:
         return
     step = settings.step
@@ -347,43 +400,52 @@ def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings:
     bounds = np.flatnonzero(np.diff(cell, prepend=-1))
     edges = np.append(bounds, len(columns))
     cell_doc = doc[bounds]
-    reach = (first_cell + cells)[cell_doc] - np.arange(len(bounds))
+    stop = (first_cell + cells)[cell_doc]
     every = np.arange(len(bounds))
-    caps = np.add.reduceat(items.caps[columns], bounds, axis=0)
-    mass = np.add.reduceat(items.idf2[columns], bounds)
-    # the latent part adds its weight at most
-    least = (settings.cosine - settings.latent) / (1 - settings.latent)
-    for g, group in enumerate(items.groups):
-        weight = np.sqrt(np.maximum(_window_sums(mass, every, reach, group.span), 1e-12))
-        open_windows = np.flatnonzero(_window_sums(caps[:, g], every, reach, group.span) >= least * weight)
-        if not len(open_windows):
-            continue
-        needed = np.zeros(len(bounds) + group.span, bool)
-        for shift in range(group.span):
-            needed[open_windows + shift] = True
-        needed = np.flatnonzero(needed[: len(bounds)])
-        used = np.zeros(len(bounds), bool)
-        used[needed] = True
-        words = np.flatnonzero(used[cell])
-        sizes = np.diff(edges)[needed]
-        sums = np.zeros((len(bounds), len(group.items)), np.float32)
-        sums[needed] = np.add.reduceat(group.scores[columns[words]], np.cumsum(sizes) - sizes, axis=0)
-        cosines = _window_sums(sums, open_windows, reach, group.span) / weight[open_windows, None]
-        for row, k in zip(*(x.tolist() for x in np.nonzero(cosines >= least))):
-            w, item = int(open_windows[row]), int(group.items[k])
-            end = int(edges[w + min(group.span, int(reach[w]))])
-            there = items.directions[columns[bounds[w] : end]].sum(axis=0)
-            latent = float(there @ items.latent[item]) / max(1e-12, float(np.linalg.norm(there)))
-            cosine = (1 - settings.latent) * min(1.0, float(cosines[row, k])) + settings.latent * latent
-            if cosine >= settings.cosine:
-                yield int(cell_doc[w]), item, int(place[bounds[w]]), int(place[end - 1]), cosine
+    sums = sums_of_rows(items.screen, columns, cell, len(bounds), step)
+    upto = np.zeros((len(bounds) + 1, sums.shape[1]), np.int32)
+    np.cumsum(sums, axis=0, out=upto[1:])
+    topics, first = upto[:, : items.corpus].astype(np.float32), items.corpus
+    found = []
+    for group in items.groups:
+        # windows overlap by half at least
+        begin = every[:: max(1, group.span // 2)]
+        end = np.minimum(begin + group.span, stop[begin])
+        inner = upto[:, first : first + len(group.items)]
+        first += len(group.items)
+        inner = inner[end] - inner[begin]
+        # a window weighs no less than its part among the corpus' directions: most are settled by that
+        least = np.linalg.norm(topics[end] - topics[begin], axis=1)
+        windows, picked = np.divmod(np.flatnonzero(inner >= np.maximum(1, settings.cosine * least)[:, None].astype(np.int32)), inner.shape[1])
+        found.append((begin[windows], group.items[picked], end[windows], inner[windows, picked]))
+    windows, picked, end, inner = (np.concatenate(x) for x in zip(*found))
+    if not len(windows):
+        return
+    # the rest are weighed in the whole space, by the cells they have
+    needed = np.zeros(len(bounds) + 1, np.int64)
+    np.add.at(needed, windows, 1)
+    np.add.at(needed, end, -1)
+    needed = np.flatnonzero(np.cumsum(needed[:-1]))
+    order = np.full(len(bounds), -1)
+    order[needed] = np.arange(len(needed))
+    chosen = np.flatnonzero(order[cell] >= 0)
+    whole = np.zeros((len(needed) + 1, items.directions.shape[1]), np.int32)
+    np.cumsum(sums_of_rows(items.directions, columns[chosen], order[cell[chosen]], len(needed), step), axis=0, out=whole[1:])
+    spans, at = np.unique(order[windows] * (len(needed) + 1) + order[end - 1] + 1, return_inverse=True)
+    from_, to = np.divmod(spans, len(needed) + 1)
+    weight = np.linalg.norm((whole[to] - whole[from_]).astype(np.float32), axis=1)
+    cosines = inner / np.maximum(1e-12, weight)[at]
+    for i in np.flatnonzero(cosines >= settings.cosine).tolist():
+        w = int(windows[i])
+        yield int(cell_doc[w]), int(picked[i]), int(place[bounds[w]]), int(place[edges[end[i]] - 1]), float(cosines[i])
 
 
 def _short_candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings: Decontamination) -> Iterator[tuple[int, int, int, int, float]]:
     """(document, item, first word, last word, cosine) about words that lead to short items and have enough of the item around.
 
-    The window of the item's own length with the largest cosine over the
-    item's words that holds the word is given. None that ``verify`` accepts is left out.
+    Of the windows of the item's own length that hold the word, that with the
+    largest cosine over the item's words is given, with its cosine in the latent
+    space. None that ``verify`` accepts is left out.
     """
     short = items.short
     if short is None:
@@ -399,7 +461,7 @@ def _short_candidates(items: Items, columns: np.ndarray, counts: np.ndarray, set
         at = np.repeat(hits[start:stop], lookups[start:stop])
         places, _ = ragged_take(short.by_column, short.first, short.many, columns[hits[start:stop]])
         start = stop
-        sizes = np.array([len(items.words[k]) for k in short.items.tolist()])[places]
+        sizes = np.array([items.words[k].size for k in short.items.tolist()])[places]
         for size in np.unique(sizes).tolist():
             chosen = np.flatnonzero(sizes == size)
             where, place = at[chosen], places[chosen]
@@ -421,19 +483,18 @@ def _short_candidates(items: Items, columns: np.ndarray, counts: np.ndarray, set
             # the first of the best, so that the windows of one copy agree
             best = cosines.argmax(axis=1)
             rows = np.arange(len(best))
-            directions = (items.directions[own[rows, best]] * inside[rows, best][:, :, None]).sum(axis=1)
+            directions = (items.directions[own[rows, best]] * inside[rows, best][:, :, None]).sum(axis=1, dtype=np.float32)
             item = short.items[place]
-            latent = (directions * items.latent[item]).sum(axis=1) / np.maximum(1e-12, np.linalg.norm(directions, axis=1))
-            total = (1 - settings.latent) * np.minimum(1.0, cosines[rows, best]) + settings.latent * latent
+            total = (directions * items.latent[item]).sum(axis=1) / np.maximum(1e-12, np.linalg.norm(directions, axis=1))
             first = np.maximum(firsts[rows, best], lo)
             last = np.minimum(firsts[rows, best] + size, hi) - 1
             yield from zip(doc[where].tolist(), item.tolist(), first.tolist(), last.tolist(), total.tolist())
 
 
-def verify(item: list[int], answer: list[int], text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
+def verify(item: Pattern, answer: Pattern, text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
     """(contaminated, share of the item in the common subsequence, whether the answer is there)."""
-    share = common_subsequence(item, text) / len(item)
-    answered = bool(answer) and common_subsequence(answer, text) >= settings.answer_share * len(answer)
+    share = item.common(text) / item.size
+    answered = answer.size > 0 and answer.common(text) >= settings.answer_share * answer.size
     return share >= settings.surely or (share >= settings.perhaps and answered), share, answered
 
 
@@ -458,7 +519,7 @@ def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str
                 for (doc, k), runs in spans.items():
                     lo, hi = int(ends[doc] - counts[doc]), int(ends[doc])
                     item = items.words[k]
-                    margin = stretch(len(item)) if len(item) <= settings.short else len(item)
+                    margin = stretch(item.size) if item.size <= settings.short else item.size
                     for first, last, cosine in runs:
                         # the item may begin before the window and end after it
                         start = max(lo, first - margin)
@@ -484,17 +545,17 @@ def _search(shared, settings: Decontamination, id_type: pa.DataType, stored: str
     return run
 
 
-def _densest(item: list[int], answer: list[int], text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
+def _densest(item: Pattern, answer: Pattern, text: list[int], settings: Decontamination) -> tuple[bool, float, bool]:
     """``verify`` of the stretch of the text, half as long again as the item, that has the largest share.
 
     Stretches begin at every word for short items, else at every quarter of the item.
     """
-    size = stretch(len(item))
+    size = stretch(item.size)
     if len(text) <= size:
         return verify(item, answer, text, settings)
-    if common_subsequence(item, text) < settings.perhaps * len(item):
+    if item.common(text) < settings.perhaps * item.size:
         return False, 0.0, False
-    step = 1 if len(item) <= settings.short else len(item) // 4
+    step = 1 if item.size <= settings.short else item.size // 4
     return max(verify(item, answer, text[i : i + size], settings) for i in range(0, len(text) - size + step, step))
 
 
@@ -525,7 +586,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, settin
     words = staged.filter("kind = 0").select("id", "data")
 
     sketch = np.random.default_rng(11).standard_normal((tokens.width, settings.rank))
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), (sketch * idf[:, None]).astype(np.float32)))
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), padded((sketch * idf[:, None]).astype(np.float32))))
     gram = _summed(words.select("data").mapInArrow(tidy(_gram_times(shared, settings.passage, tokens.stored)), "data binary"), "<f4", tokens.width * settings.rank, settings.reducers)
     leading = leading_directions(gram.reshape(tokens.width, -1), sketch)
 
