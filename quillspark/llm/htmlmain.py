@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,20 +31,32 @@ CONTAINERS = frozenset("html body main article section div td center".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div section article body main td blockquote".split())
-#: Words in class, id or role that mark what is not the article.
-UNWANTED = frozenset(
-    "ad ads advert advertisement advertising adverts adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe "
-    "signup login comment comments respond replies disqus pagination pager skip tags complementary contentinfo".split()
+# Words in names of classes, ids and roles.
+#: What an element holds that is no part of the article, wherever it stands.
+APART = frozenset(
+    "ad ads adbox advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login "
+    "breadcrumb breadcrumbs sidebar comment comments respond replies disqus pagination pager share sharing "
+    "anzeige anzeigen werbung kommentar kommentare publicite commentaire commentaires publicidad anuncio anuncios comentario comentarios".split()
 )
-
+#: What an element is on its page; parts of an article may have names with these words, too.
+PLACE = frozenset("nav navbar navigation menu aside widget footer header masthead topbar toolbar notice notices alert hinweis hinweise aviso avis social related recommended skip tags complementary contentinfo".split())
+#: Words of layout, which say nothing about what an element holds.
+LAYOUT = frozenset(
+    "active area bar block bottom box btn button buttons cell center close col column container css desktop dialog fixed floating form global grid group head holder "
+    "icon icons inner item items js large layer layout left line link links list main message mobile module outer overview page panel primary region right root row secondary "
+    "site slot small sticky tab tabs thread tool tools top unit view visible wrap wrapper zone".split()
+)
+#: Words of the article itself: beside them a place is one within the article, what is apart stays apart.
+OF_ARTICLE = frozenset("article blog body content entry feed news post posts section story text title".split())
 #: Words beside which the others of a class name say what a page has, not what an element is.
 ABOUT_PAGE = frozenset("has with no without not hide show".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+# A quote opens a value only after an equals sign; one that is never closed is a character like others.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*))?)?""")
+_TAG_END = re.compile(r"[\s/]*>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_WORDS = re.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+")
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
 #: Share of a page's wanted text that the container covers from which an article or main around it is looked for.
@@ -92,48 +105,113 @@ class Page:
         return inside
 
 
-def _is_unwanted_name(value: str) -> bool:
-    for name in value.split():
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if words & UNWANTED and not words & ABOUT_PAGE:
-            return True
-    return False
+@lru_cache(maxsize=4096)
+def name_says(name: str) -> int:
+    """2 if a name of a class, id or role is one of what is no article, 1 if it might be, 0 if not.
 
-
-def _unwanted(tag: str, attributes: str, by_name: bool) -> tuple[bool, str]:
-    """Whether an element is not part of any article, and its generalised classes."""
-    classes, marked = "", tag in DROPPED
-    if "=" in attributes:
-        for name, *values in _NAMES.findall(attributes):
-            value = next((v for v in values if v), "")
-            if name.lower() == "class":
-                classes = "".join("." + _DIGITS.sub("#", c) for c in sorted(set(value.split())))
-            marked = marked or (by_name and tag not in ("html", "body", "article", "main") and _is_unwanted_name(value))
+    It is one if all its words are; words of layout may stand among them, and
+    words of the article beside those that are apart from it. One such word
+    among others (notice-board, social-history) only might be one.
+    """
+    words = {w.lower() for w in _WORDS.findall(name)}
+    marks = words & (APART | PLACE)
+    if not marks or words & ABOUT_PAGE:
+        return 0
+    rest = words - marks - LAYOUT
+    return 2 if not rest or (rest <= OF_ARTICLE and marks <= APART) else 1
+
+
+def _judged(tag: str, attributes: list[tuple[str, str]], by_name: bool) -> tuple[int, str]:
+    """How much an element looks like no part of any article (0 to 2), and its generalised classes."""
+    classes, marked = "", 2 if tag in DROPPED else 0
+    for name, value in attributes:
+        if name == "class":
+            classes = "".join("." + _DIGITS.sub("#", c) for c in sorted(set(value.split())))
+        if by_name and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            marked = max(marked, *(name_says(x) for x in value.split()), 0)
     return marked, classes
 
 
+def _tag_at(source: str, at: int, lenient: bool) -> tuple[str, bool, list[tuple[str, str]], int] | None:
+    """(name, closing, attributes, end) of the tag whose ``<`` is at ``at``; None if none ends there before the page does."""
+    closing = source.startswith("/", at + 1)
+    m = _NAME.match(source, at + 1 + closing)
+    name, at, attributes = m[0].lower(), m.end(), []
+    if source.startswith(">", at):
+        return name, closing, attributes, at + 1
+    if lenient:
+        return name, closing, attributes, source.find(">", at) + 1
+    while not (end := _TAG_END.match(source, at)):
+        m = _ATTRIBUTE.match(source, at)
+        if m is None:
+            return None
+        attributes.append((m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")))
+        at = m.end()
+    return name, closing, attributes, end.end()
+
+
+def tokenise(source: str) -> Iterator[tuple[str, bool, list[tuple[str, str]], str]]:
+    """(tag, closing, attributes, text): text where tag is ''.
+
+    Comments, declarations and the inside of raw elements are left out. A
+    ``<`` that opens nothing is text. The time is linear in the page: a tag
+    that quotes keep open up to the page's end ends at its first ``>``, as do
+    all tags after it.
+    """
+    at, size, last, lenient = 0, len(source), source.rfind(">"), False
+    while at < size:
+        start = source.find("<", at)
+        if start < 0 or start > last:  # nothing ends any more; a comment takes the rest
+            comment = source.find("<!--", at)
+            yield "", False, [], source[at : comment if comment >= 0 else size]
+            return
+        if start > at:
+            yield "", False, [], source[at:start]
+        after = source[start + 1 : start + 3]
+        if after[:1] == "!" and source.startswith("--", start + 2):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+        elif after[:1] in ("!", "?"):
+            at = source.find(">", start) + 1
+        elif (after[1:] if after[:1] == "/" else after)[:1].isascii() and (after[1:] if after[:1] == "/" else after)[:1].isalpha():
+            found = _tag_at(source, start, lenient)
+            if found is None:
+                lenient = True
+                found = _tag_at(source, start, lenient)
+            tag, closing, attributes, at = found
+            yield tag, closing, attributes, ""
+            if tag in RAW and not closing and not source.endswith("/>", start, at):
+                end = _RAW_END[tag].search(source, at)
+                if end is None:
+                    return
+                at = end.start()
+        else:
+            yield "", False, [], "<"
+            at = start + 1
+
+
 def parse(source: str, by_name: bool = True) -> Page:
     """Containers and text blocks of a page; unclosed and misnested tags are allowed.
 
     Elements that are no part of an article are known by their tag and, with
-    ``by_name``, by words in their class, id or role.
+    ``by_name``, by their class, id or role; where a name only might be one of
+    these, blocks with half their text in links or more are left out.
     """
     page = Page()
-    # open elements: (tag, dropped here or above, container index or -1, step of the path)
-    stack: list[tuple[str, bool, int, str]] = []
+    # open elements: (tag, how much they or those around look unwanted, container index or -1, step of the path)
+    stack: list[tuple[str, int, int, str]] = []
     count: Counter[str] = Counter()
     around = -1
     texts: list[str] = []
     linked = 0
-    dropped = False
-    raw_until = None
+    dropped = 0
 
     def end_block() -> None:
         nonlocal linked
         if texts:
             text = _SPACES.sub(" ", entities.unescape("".join(texts))).strip()
             if text:
-                page.blocks.append(Block(text, around, not dropped, linked))
+                page.blocks.append(Block(text, around, dropped < 1 or (dropped < 2 and 2 * linked < len(text)), linked))
             texts.clear()
         linked = 0
 
@@ -144,7 +222,7 @@ def parse(source: str, by_name: bool = True) -> Page:
             count[tag] -= 1
             if container >= 0:
                 around = page.outer[container]
-        dropped = stack[-1][1] if stack else False
+        dropped = stack[-1][1] if stack else 0
 
     def open_like(names, stop=frozenset()) -> int:
         for i in range(len(stack) - 1, -1, -1) if any(count[n] for n in names) else ():
@@ -154,27 +232,18 @@ def parse(source: str, by_name: bool = True) -> Page:
                 break
         return -1
 
-    for token in _TOKEN.findall(source):
-        if raw_until:
-            m = _TAG.match(token)
-            if not (m and m[1] and m[2].lower() == raw_until):
-                continue
-            raw_until = None
-        if token[0] != "<" or token == "<":
-            texts.append(token)
+    for tag, closing, attributes, shown in tokenise(source):
+        if not tag:
+            texts.append(shown)
             if count["a"]:
-                linked += len(token)
+                linked += len(shown)
             continue
-        m = _TAG.match(token)
-        if m is None:
-            continue  # a comment, a doctype
-        tag = m[2].lower()
         if tag not in INLINE:
             if tag == "br":
                 texts.append(" ")
                 continue
             end_block()
-        if m[1]:
+        if closing:
             i = open_like((tag,), SCOPES if tag in ("li", "p") or tag in INLINE else frozenset(("body", "html")) - {tag})
             if i >= 0:
                 close_to(i)
@@ -185,7 +254,7 @@ def parse(source: str, by_name: bool = True) -> Page:
             close_to(i)
         if tag in CLOSED_BY_LIKE and (i := open_like(CLOSED_BY_LIKE[tag], frozenset(("ul", "ol", "dl", "table")))) >= 0:
             close_to(i)
-        marked, classes = _unwanted(tag, token[m.end() :], by_name)
+        marked, classes = _judged(tag, attributes, by_name)
         step = tag + classes
         container = -1
         if tag in CONTAINERS:
@@ -201,11 +270,9 @@ def parse(source: str, by_name: bool = True) -> Page:
             page.outer.append(around)
             page.depth.append(page.depth[around] + 1 if around >= 0 else 0)
             around = container
-        dropped = dropped or marked
+        dropped = max(dropped, marked)
         stack.append((tag, dropped, container, step))
         count[tag] += 1
-        if tag in RAW and not token.endswith("/>"):
-            raw_until = tag
     end_block()
     return page
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,31 @@ def test_names_of_whole_pages_are_not_taken_for_their_parts():
     assert htmlmain.main_text("<nav>n</nav>", None) == ""
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<p>Hello world it is <a title='it's' href=x>a link</a> and don't stop</p>", "Hello world it is a link and don't stop"),
+        ('<p>one <a title="it\'s > here">two</a> three <a href=x title="open>four</a> five</p>', "one two three four five"),
+        ("<p title=>a</p><p =x y>b</p><p/class=c>c</p><a b='c>d</a> e", "a b c d e"),
+        ("<p>5 </p 3 > 4</p> </> <! x> <?php y ?> z", "5 4 </> z"),
+        ("<article><p>one</p><p class=\"lead notice-board\">the board</p><div class='social-history'>of towns</div></article>", "one the board of towns"),
+        ("<article><p>one</p><div class='hinweis-box'>h</div><div class=articleComments>c</div><div class='comment-list'>c</div><div class='cookieBanner'>k</div></article>", "one"),
+        ("<article><div class='post-header'>title</div><p>one</p><div class='related-towns'><a href=x>a town</a> <a href=y>b</a></div></article>", "title one"),
+        ("<article><p>one<script>if (a < b) x('</p>')</script> two</p><SCRIPT>y</Script x>three</article>", "one two three"),
+    ],
+)
+def test_quotes_and_names(source, want):
+    assert text_of(source) == want
+
+
+@pytest.mark.parametrize("piece", ["<a b=", "<a b=>", "<a b=\"", "<a b='\">", "<a b=\">'", "<!--", "<!-- >", "<script>", "<a ", "< ", "<a\t=", "</", "<p class='x y'", "<a b='<a c=\"", "&", "<b>", "</b>", "<li><p>", "<td>"])
+def test_long_odd_pages_take_linear_time(piece):
+    began = time.process_time()
+    htmlmain.main_text(piece * (1_000_000 // len(piece)), None)
+    htmlmain.main_text(piece * (1_000_000 // len(piece)) + "\"'>", None)
+    assert time.process_time() - began < 20
+
+
 LEAD, STORY = "lead " * 7, "story " * 11
 
 
