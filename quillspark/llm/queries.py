@@ -91,6 +91,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def _lent(name: str, below: str, above: str) -> str:
+    """CTEs of the pages that the groups ``above`` lend to the rows ``below``, by moments."""
+    return f"""{name}_sums AS (
+  SELECT count(*) AS k, sum(n)::double AS nn1, sum(g)::double AS gg1, sum(n::double * n) AS n2, sum(g::double * g / n) AS g2 FROM {below} WHERE n > 0 {"GROUP BY " + above if above else "HAVING count(*) > 0"}
+), {name}_moments AS (
+  SELECT sum(g2 - gg1 * gg1 / nn1) AS spread, sum(gg1 / nn1 * (1 - gg1 / nn1) * (k - 1)) AS chance, sum(gg1 / nn1 * (1 - gg1 / nn1) * (nn1 - n2 / nn1 - (k - 1))) AS reach FROM {name}_sums
+), {name} AS (
+  SELECT CASE WHEN r IS NULL THEN 8.0::double WHEN r <= 1.0::double / 10001 THEN 10000.0::double ELSE greatest(1.0::double, (1 - r) / r) END AS lent
+  FROM (SELECT CASE WHEN reach > 1e-9 THEN (spread - chance) / reach END AS r FROM {name}_moments)
+)"""
+
+
 _TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABEL_SUFFIXES)
 OP8_SQL = f"""
 WITH located AS (
@@ -108,16 +120,28 @@ WITH located AS (
   SELECT *, CASE WHEN array_to_string(part[-2:], '.') IN ({_TWO}) THEN array_to_string(part[-3:], '.') ELSE array_to_string(part[-2:], '.') END AS domain,
     CASE WHEN array_to_string(part[-2:], '.') IN ({_TWO}) THEN array_to_string(part[-2:], '.') ELSE part[-1] END AS suffix
   FROM per_host
-), d AS (SELECT suffix, domain, sum(n) AS n, sum(n_good) AS g FROM split GROUP BY suffix, domain),
+), h AS (SELECT host, suffix, domain, n, n_good AS g FROM split),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM h GROUP BY suffix, domain),
 s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY suffix),
-a AS (SELECT (sum(g) + 8.0::double * 0.5::double) / (sum(n) + 8.0::double) AS m FROM s),
-sm AS (SELECT suffix, (g + 8.0::double * a.m) / (n + 8.0::double) AS m FROM s, a),
-dm AS (SELECT d.suffix, d.domain, (d.g + 8.0::double * sm.m) / (d.n + 8.0::double) AS m FROM d JOIN sm ON d.suffix = sm.suffix),
+a AS (SELECT (coalesce(sum(g), 0) + 4.0::double) / (coalesce(sum(n), 0) + 8.0::double) AS m FROM s),
+{_lent("s_lent", "s", "")}, {_lent("d_lent", "d", "suffix")}, {_lent("h_lent", "h", "suffix, domain")},
+sm AS (SELECT suffix, (g + lent * a.m) / (n + lent) AS m FROM s, a, s_lent),
+dm AS (SELECT d.suffix, d.domain, (d.g + lent * sm.m) / (d.n + lent) AS m FROM d JOIN sm ON d.suffix = sm.suffix, d_lent),
 ab AS (
-  SELECT host, n, n_good, n_good + 8.0::double * m AS a, n - n_good + 8.0::double * (1 - m) AS b
-  FROM split JOIN dm ON split.suffix = dm.suffix AND split.domain = dm.domain
+  SELECT host, n, g AS n_good, greatest(0.5::double, g + lent * m) AS a, greatest(0.5::double, n - g + lent * (1 - m)) AS b
+  FROM h JOIN dm ON h.suffix = dm.suffix AND h.domain = dm.domain, h_lent
+), logs AS (
+  SELECT host, i, (2 * a - 1) * ln(sin((i + 0.5::double) * pi() / 512)) + (2 * b - 1) * ln(cos((i + 0.5::double) * pi() / 512)) AS l FROM ab, range(256) t(i) WHERE a + b < 1000
+), weights AS (
+  SELECT host, i, exp(l - max(l) OVER (PARTITION BY host)) AS w FROM logs
+), sums AS (
+  SELECT host, i, w, sum(w) OVER (PARTITION BY host ORDER BY i) AS upto, 0.95::double * sum(w) OVER (PARTITION BY host) AS target FROM weights
+), reached AS (
+  SELECT host, arg_min(i + (target - (upto - w)) / w, i) AS place FROM sums WHERE upto >= target GROUP BY host
 ), post AS (
-  SELECT host, n, n_good, least(a / (a + b) + 1.645::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 1.0::double) AS upper_bound FROM ab
+  SELECT ab.host, n, n_good, CASE WHEN a + b >= 1000 THEN least(a / (a + b) + 1.6448536269514722::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 1.0::double)
+    ELSE pow(sin(coalesce(place, 256) * pi() / 512), 2) END AS upper_bound
+  FROM ab LEFT JOIN reached ON ab.host = reached.host
 ), rules(kind, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 fit AS (
   SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(kind, length(rule_host || rule_path)) AS kind

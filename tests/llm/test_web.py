@@ -97,6 +97,31 @@ def test_rules_and_posteriors(spark, tmp_path):
     assert hosts.judge_urls(pages, frame.limit(0), queries.URL_RULES).count() == len(rows)
 
 
+def test_quantiles_of_beta_distributions(spark):
+    import numpy as np
+
+    pairs = [(0.5, 0.5), (0.5, 40.0), (1.0, 1.0), (2.5, 7.0), (30.0, 2.0), (200.0, 300.0), (900.0, 100.0), (5000.0, 5000.0)]
+    df = spark.createDataFrame(pairs, "a double, b double").withColumn("q", hosts.upper_quantile(F.col("a"), F.col("b")))
+    rng = np.random.default_rng(17)
+    for r in df.collect():
+        assert abs(r["q"] - np.quantile(rng.beta(r["a"], r["b"], 400_000), 0.95)) < 0.004, r
+
+
+def test_what_a_level_lends_is_learned_from_the_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(18)
+    for strength in (2.0, 20.0, 200.0):
+        rows = [(f"g{k % 5}", int(n), int(rng.binomial(n, rng.beta(0.3 * strength, 0.7 * strength)))) for k, n in enumerate(rng.integers(1, 400, 3000))]
+        df = spark.createDataFrame(rows, "above string, n long, good long")
+        lent = hosts.lent_pages(df, ["above"], hosts.Reputation()).first()["lent"]
+        assert strength / 1.4 < lent < strength * 1.4
+    same = spark.createDataFrame([("g", 100, 50)] * 50, "above string, n long, good long")
+    assert hosts.lent_pages(same, ["above"], hosts.Reputation()).first()["lent"] == 10_000
+    for rows in ([("g", 100, 50)], [("g", 0, 0)], [("g", 9, 9), ("g", 3, 3)]):
+        assert hosts.lent_pages(spark.createDataFrame(rows, "above string, n long, good long"), ["above"], hosts.Reputation()).first()["lent"] == 8
+
+
 @pytest.mark.parametrize("name", ["op4_chat_formatting", "op6_warc_archive", "op8_url_filter"])
 def test_queries_equal_their_sql(spark, tiny, name):
     ok, said = parity.compare(spark, parity.connect(tiny), tiny, name)
