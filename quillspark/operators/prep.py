@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import sentences, tokens
+from quillspark.shared import written
 
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
 
@@ -22,10 +23,11 @@ def chat_text(turns: DataFrame, by: str = "conv_id") -> DataFrame:
 
 
 def balance(df: DataFrame, label: str, order: str) -> DataFrame:
-    """All rows labelled 0 and as many of those labelled 1, the first by ``order``."""
+    """All rows labelled 0 and as many of those labelled 1, the first by ``order`` (nulls first)."""
     n = df.agg(F.count_if(F.col(label) == 0).alias("n_false"))
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return ranked.crossJoin(F.broadcast(n)).filter((F.col(label) == 0) | ((F.col(label) == 1) & (F.col("place") <= F.col("n_false")))).drop("place", "n_false")
+    placed, _ = positions(df.filter(F.col(label) == 1), order)
+    first = placed.crossJoin(F.broadcast(n)).filter(F.col("place") <= F.col("n_false")).drop("place", "n_false")
+    return df.filter(F.col(label) == 0).unionByName(first)
 
 
 def hash_key(column: Column, seed: int) -> Column:
@@ -34,29 +36,36 @@ def hash_key(column: Column, seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """``split`` is train, valid or test, in these shares within each label, by a seeded hash of the key."""
-    per = Window.partitionBy(label)
-    place = F.row_number().over(per.orderBy(hash_key(F.col(key), seed), key))
-    n = F.count("*").over(per)
+    """``split`` is train, valid or test, in these shares within each label, by a seeded hash of the key.
+
+    Rows are placed in the order of label and hash over the whole table, so a
+    label with half of all rows is no task of its own; where each label begins
+    is one row per label. A null label is a label.
+    """
+    placed, _ = positions(df.withColumn("_hash", hash_key(F.col(key), seed)), label, "_hash", key)
+    sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
+    joined = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    place, n = F.col("place") - F.col("_first") + 1, F.col("_n")
     split = F.when(place <= F.floor(n * F.lit(train) + 1e-9), "train").when(place <= F.floor(n * F.lit(train + valid) + 1e-9), "valid").otherwise("test")
-    return df.withColumn("split", split)
+    return joined.select(*df.columns, split.alias("split"))
 
 
-def positions(df: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """``df`` with each row's ``place`` from 1 in ``order``, and the number of rows; no task orders all rows.
+def positions(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """``df`` with each row's ``place`` from 1 in ``order`` (nulls first), and the number of rows; no task orders all rows.
 
-    Rows are range-partitioned; a row's place is that in its partition plus
-    the sizes of the partitions before it, one number per partition.
+    Rows are range-partitioned, numbered within their partition and written
+    once: a second run might draw other borders or join partitions. A row's
+    place is its number plus the sizes of the partitions before it, one number
+    per partition. Rows that ``order`` does not tell apart go either way.
     """
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r[0]: r[1] for r in spread.groupBy("_part").count().collect()}
-    before, at = {}, 0
-    for part in sorted(sizes):
-        before[part] = at
-        at += sizes[part]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
-    return spread.withColumn("place", F.col("_place") + base + 1).drop("_part", "_place"), at
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    spread = written(spread.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "places")
+    before, at = [], 0
+    for part, n in sorted(map(tuple, spread.groupBy("_part").count().collect())):
+        before.append((part, at))
+        at += n
+    bases = df.sparkSession.createDataFrame(before, "_part int, _base long")
+    return spread.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_place") + F.col("_base") + 1).alias("place")), at
 
 
 def sequential_split(df: DataFrame, order: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
@@ -100,25 +109,33 @@ def contaminated_prefix(test: DataFrame, train: DataFrame, prefix: int, text: st
     return test.withColumn("head", F.substring(text, 1, prefix)).join(heads, "head").drop("head")
 
 
-def contaminated_passage(items: DataFrame, docs: DataFrame, prefix: int, id_col: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item_id, n_docs): in how many documents the first characters of an item occur anywhere.
+def contaminated_passage(items: DataFrame, docs: DataFrame, prefix: int | None = None, id_col: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item_id, n_docs): in how many documents the text of an item (its first ``prefix`` characters) occurs anywhere.
 
-    Passages are looked up by five of their first words (the second to the
-    sixth: a document may run into the first): document word n-grams, without
-    the texts, meet the items' in a hash join, and only the documents hit are
-    compared as text. Items with fewer words are compared with all documents.
+    Passages are looked up by as many of their first words, five at most, from
+    the second on (a document may run into the first and the last): document
+    word n-grams of these lengths, without the texts, meet the items' in a hash
+    join, and only the documents hit are compared as text. Only items of two
+    words or fewer have no such word; they are compared with all documents.
     """
     words = 5
-    keyed = items.select(F.col(id_col).alias("item"), F.substring(text, 1, prefix).alias("head"))
-    keyed = keyed.withColumns({"gram": F.array_join(F.slice(tokens(F.col("head")), 2, words), " "), "short": F.size(tokens(F.col("head"))) < words + 2})
+    whole = F.col(text) if prefix is None else F.substring(text, 1, prefix)
+    keyed = items.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("item"), whole.alias("head"))
+    size = F.least(F.size(tokens(F.col("head"))) - 2, F.lit(words))
+    keyed = keyed.withColumn("size", size).withColumn("gram", F.when(F.col("size") > 0, F.array_join(F.slice(tokens(F.col("head")), F.lit(2), F.col("size")), " ")))
+    sizes = [r[0] for r in keyed.filter("size > 0").select("size").distinct().collect()]
     bodies = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
-    grams = F.expr(f"transform(sequence(1, greatest(size(t) - {words} + 1, 1)), i -> array_join(slice(t, i, {words}), ' '))")
-    split = bodies.select("doc", tokens(F.col("body")).alias("t")).filter(F.size("t") >= words)
-    exploded = split.select("doc", F.explode(F.array_distinct(grams)).alias("gram"))
-    hits = exploded.join(keyed.filter("not short"), "gram").select("doc", "item", "head").distinct()
-    found = hits.join(bodies, "doc").filter(F.contains("body", "head")).select("item", "doc")
-    few = bodies.join(keyed.filter("short"), F.contains("body", "head")).select("item", "doc")
-    return found.union(few).groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
+    split = bodies.select("doc", tokens(F.col("body")).alias("t"))
+
+    def grams(n: int) -> Column:
+        return F.expr(f"transform(sequence(1, greatest(size(t) - {n} + 1, 1)), i -> array_join(slice(t, i, {n}), ' '))")
+
+    few = bodies.join(keyed.filter("size <= 0"), F.contains("body", "head")).select("item", "doc")
+    if sizes:
+        exploded = split.select("doc", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("gram"))
+        hits = exploded.join(keyed.filter("size > 0"), "gram").select("doc", "item", "head").distinct()
+        few = few.union(hits.join(bodies, "doc").filter(F.contains("body", "head")).select("item", "doc"))
+    return few.groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
 
 
 def context_variants(df: DataFrame, docs: str, counts: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -139,6 +156,21 @@ def sentence_chunks(docs: DataFrame, size: int = 60, id_col: str = "doc_id", tex
     return parts.groupBy(id_col, F.col("c.chunk").alias("chunk_no")).agg(F.count("*").alias("n_sentences"), F.sum("c.n").alias("n_tokens"))
 
 
+def chunk_texts(docs: DataFrame, size: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk_no, chunk): the sentences of the chunks that ``sentence_chunks`` counts, joined by a space.
+
+    All within a document's row; chunks come in order, numbers may leave gaps
+    where a sentence alone is longer than ``size``.
+    """
+    parts = F.transform(sentences(F.col(text_col)), lambda s: F.struct(s.alias("s"), F.size(tokens(s)).cast("long").alias("n")))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<no:bigint,s:string>>").alias("out"))
+    placed = F.aggregate(parts, start, lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(F.floor(acc["sum"] / size).alias("no"), x["s"].alias("s")))).alias("out")), lambda acc: acc["out"])
+    rows = docs.select(F.col(id_col), placed.alias("placed"))
+    each = rows.select(id_col, "placed", F.explode(F.array_distinct(F.transform("placed", lambda x: x["no"]))).alias("chunk_no"))
+    own = F.transform(F.filter("placed", lambda x: x["no"] == F.col("chunk_no")), lambda x: x["s"])
+    return each.select(id_col, "chunk_no", F.array_join(own, " ").alias("chunk"))
+
+
 def few_shot(df: DataFrame, n: int, seed: int, key: str, question: str, answer: str) -> DataFrame:
     """n examples by a seeded hash, each as ``## Question`` and ``## Answer`` sections."""
     picked = df.orderBy(hash_key(F.col(key), seed), key).limit(n)
@@ -146,5 +178,6 @@ def few_shot(df: DataFrame, n: int, seed: int, key: str, question: str, answer:
 
 
 def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
-    """Rows whose dense, zero-based id in ``order`` is a multiple of n."""
-    return df.filter(F.col(order) % n == 0)
+    """The first of every n rows in ``order``."""
+    placed, _ = positions(df, order)
+    return placed.filter((F.col("place") - 1) % n == 0).drop("place")
