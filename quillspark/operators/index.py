@@ -14,31 +14,42 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, doc_len), doc_stats(doc_id, doc_len)."""
+    """postings(term, doc_id, tf, doc_len), doc_stats(doc_id, doc_len); a saved index has its terms and corpus statistics too."""
 
     postings: DataFrame
     doc_stats: DataFrame
+    saved_terms: DataFrame | None = None
+    saved_stats: DataFrame | None = None
 
     def corpus_stats(self) -> DataFrame:
         """One row: n_docs, avg_len."""
+        if self.saved_stats is not None:
+            return self.saved_stats
         return self.doc_stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
     def terms(self) -> DataFrame:
         """term, df, idf, max_impact (the greatest BM25 score of the term in a document)."""
-        df = document_frequency(self.postings)
-        # one row of statistics, so the product is no larger than the terms
-        df = df.crossJoin(F.broadcast(self.corpus_stats())).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-        impact = self.postings.join(df, "term").groupBy("term").agg(F.max(bm25(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("max_impact"))
-        return df.join(impact, "term").select("term", "df", "idf", "max_impact")
+        if self.saved_terms is not None:
+            return self.saved_terms
+        # one row of statistics, so the product is no larger than the postings; all a term needs comes in one aggregation
+        with_stats = self.postings.crossJoin(F.broadcast(self.corpus_stats()))
+        share = bm25(F.lit(1.0), F.col("tf"), F.col("doc_len"), F.col("avg_len"))
+        per = with_stats.groupBy("term").agg(F.count("*").alias("df"), F.max(share).alias("share"), F.first("n_docs").alias("n_docs"))
+        return per.withColumn("idf", idf(F.col("n_docs"), F.col("df"))).select("term", "df", "idf", (F.col("idf") * F.col("share")).alias("max_impact"))
 
     def save(self, path: str) -> None:
-        """Write the index, postings sorted by term so that row groups can be skipped."""
+        """Write the index: postings sorted by term so that row groups can be skipped, terms, lengths and statistics."""
+        spark = self.postings.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        kept = Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+        kept.corpus_stats().write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        stats = spark.read.parquet(f"{path}/corpus_stats")
+        Index(kept.postings, kept.doc_stats, None, stats).terms().write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "terms", "corpus_stats")))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -89,5 +100,7 @@ def merge(*parts: Index) -> Index:
 
 
 def restrict(index: Index, terms: DataFrame) -> Index:
-    """The index with the postings of some terms only."""
-    return Index(index.postings.join(terms.select("term").distinct(), "term", "left_semi"), index.doc_stats)
+    """The index with the postings of some terms only; lengths and statistics stay those of all documents."""
+    asked = terms.select("term").distinct()
+    known = None if index.saved_terms is None else index.saved_terms.join(asked, "term", "left_semi")
+    return Index(index.postings.join(asked, "term", "left_semi"), index.doc_stats, known, index.saved_stats)

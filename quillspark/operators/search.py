@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import STOP_WORDS, tokens
 
-from .index import Index, bm25, classic_bm25, document_frequency, idf, restrict, tfidf
+from .index import Index, bm25, classic_bm25, document_frequency, idf, tfidf
 
 SCALE = 6  #: decimals of scores, so that ties are ties in any summation order
 
@@ -26,18 +26,33 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def known_terms(index: Index, terms: DataFrame) -> DataFrame:
+    """Query terms (query_id, term, qtf) with df, idf and max_impact; unknown terms go."""
+    return terms.join(index.terms(), "term")
+
+
+def _parts(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
+    """(query_id, doc_id, term, part): what each posting of a query term adds to a score."""
+    # one row of statistics, so the product is no larger than the postings
+    joined = index.postings.join(terms, "term").crossJoin(F.broadcast(index.corpus_stats()))
+    n, d, tf, dl, avg, qtf, weight = (F.col(c) for c in ("n_docs", "df", "tf", "doc_len", "avg_len", "qtf", "idf"))
+    part = {"bm25": lambda: bm25(weight, tf, dl, avg) * qtf, "tfidf": lambda: tfidf(n, d, tf, dl) * qtf, "classic": lambda: classic_bm25(n, d, tf, dl, avg, qtf)}[scorer]()
+    return joined.select("query_id", "doc_id", "term", part.alias("part"))
+
+
 def score(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
     """(query_id, doc_id, score) of all documents that have a query term, exhaustively.
 
     Postings of other terms are dropped before anything is aggregated. ``scorer``
     is bm25, tfidf or classic.
     """
-    asked = restrict(index, terms).postings
-    df = document_frequency(asked)
-    joined = asked.join(df, "term").crossJoin(F.broadcast(index.corpus_stats())).join(terms, "term")
-    n, d, tf, dl, avg, qtf = (F.col(c) for c in ("n_docs", "df", "tf", "doc_len", "avg_len", "qtf"))
-    part = {"bm25": lambda: bm25(idf(n, d), tf, dl, avg) * qtf, "tfidf": lambda: tfidf(n, d, tf, dl) * qtf, "classic": lambda: classic_bm25(n, d, tf, dl, avg, qtf)}[scorer]()
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCALE).alias("score"))
+    if index.saved_terms is not None:
+        known = known_terms(index, terms)
+    else:
+        # document frequencies of the terms asked for alone, over their postings
+        asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        known = terms.join(document_frequency(asked), "term").crossJoin(F.broadcast(index.corpus_stats().select("n_docs"))).withColumn("idf", idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
+    return _parts(index, known, scorer).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCALE).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25", documents: DataFrame | None = None) -> DataFrame:
@@ -52,23 +67,43 @@ def search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25",
     return found if documents is None else found.join(documents, "doc_id")
 
 
+#: More than rounding and the order of sums can change a score by.
+MARGIN = 1e-5
+
+
 def pruned_search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The same result as ``search`` with documents dropped by score bounds first.
+    """The same result as ``search``, with documents dropped by score bounds before their scores are known.
+
+    A document's lead-term part bounds its score from below, so the k-th best of
+    these is a floor. Terms whose greatest impacts add up to less than the floor
+    cannot make a document one of the k best by themselves: only documents with
+    another term are candidates. These get their parts of the other terms
+    first; the k-th best sum is a higher floor, and who stays under it with all
+    the rest's impacts goes. Of the rest, mostly the long lists of frequent
+    words, only the postings of remaining candidates are scored.
 
-    The term with the greatest impact in each query is scored in full; its k-th
-    best document gives a floor. Documents whose terms' impacts add up to less
-    than the floor cannot be among the k best.
+    ``index`` should be a loaded one, which has the impacts.
     """
-    terms = query_terms(queries)
-    impacts = restrict(index, terms).terms().select("term", "max_impact").join(terms, "term")
-    lead = top_k(impacts.withColumn("score", F.col("max_impact") * F.col("qtf")), 1, ties="term").select("query_id", "term")
-    postings = restrict(index, terms).postings
-    first = postings.select("term", "doc_id").join(lead, "term").select("query_id", "doc_id")
-    scored = score(index, terms)
-    floor = top_k(scored.join(first, ["query_id", "doc_id"], "left_semi"), k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == k)
-    bounds = postings.select("term", "doc_id").join(impacts, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("max_impact") * F.col("qtf")).alias("bound"))
-    kept = bounds.join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") + 1e-5 >= F.col("floor"))).select("query_id", "doc_id")
-    return top_k(scored.join(kept, ["query_id", "doc_id"], "left_semi"), k)
+    if k <= 0:
+        return search(index, queries, k)
+    known = known_terms(index, query_terms(queries)).withColumn("most", F.col("max_impact") * F.col("qtf"))
+    by_impact = Window.partitionBy("query_id").orderBy("most", F.desc("term"))
+    ranked = known.withColumns({"upto": F.sum("most").over(by_impact), "lead": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term")) == 1})
+
+    def floor_of(parts: DataFrame) -> DataFrame:
+        best = top_k(parts, k, score="part").groupBy("query_id").agg(F.min("part").alias("floor"), F.count("*").alias("n"))
+        return best.select("query_id", F.when(F.col("n") == k, F.col("floor")).otherwise(0.0).alias("floor"))
+
+    leads = _parts(index, ranked.filter("lead").drop("upto", "lead", "most")).select("query_id", "doc_id", "part")
+    split = ranked.join(floor_of(leads), "query_id").withColumn("rest", F.col("upto") + MARGIN < F.col("floor")).drop("upto", "lead", "floor")
+    rest = split.filter("rest").drop("rest")
+    found = _parts(index, split.filter("not rest").drop("rest", "most")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+    slack = rest.groupBy("query_id").agg(F.sum("most").alias("slack"))
+    bounded = found.join(floor_of(found), "query_id").join(slack, "query_id", "left")
+    kept = bounded.filter(F.col("part") + F.coalesce("slack", F.lit(0.0)) + MARGIN >= F.col("floor")).select("query_id", "doc_id", "part")
+    others = _parts(index, rest.drop("most")).join(kept.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "part")
+    whole = kept.unionByName(others).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCALE).alias("score"))
+    return top_k(whole, k)
 
 
 def results_json(results: DataFrame) -> DataFrame:
