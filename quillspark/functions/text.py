@@ -79,6 +79,11 @@ def after_marker(text: Column, marker: str) -> Column:
     return F.when(at > 0, F.substring(text, at + F.lit(len(marker)), F.length(text)))
 
 
+def spaced_tail(text: Column, marker: str) -> Column:
+    """``after_marker`` with every run of white space as one space, and none at the ends."""
+    return F.trim(F.regexp_replace(after_marker(text, marker), r"\s+", " "))
+
+
 def after_last(text: Column, marker: str) -> Column:
     """The last piece of the text split at the marker; all of it without one."""
     return F.substring_index(text, marker, -1)

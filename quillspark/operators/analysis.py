@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 
 def flips(facts: DataFrame, base_run: int) -> DataFrame:
-    """Per run and kind of flip against the base run: questions, mean score and mean ranks."""
+    """Per run and kind of flip against the base run: questions, mean scores and mean ranks."""
     base = facts.filter(F.col("run_id") == base_run).select("question_no", F.col("is_correct").alias("base_correct"))
     kind = F.when(~F.col("base_correct") & F.col("is_correct"), "wrong_to_right").when(F.col("base_correct") & ~F.col("is_correct"), "right_to_wrong").when(F.col("is_correct"), "right").otherwise("wrong")
     joined = facts.filter(F.col("run_id") != base_run).join(base, "question_no").withColumn("flip", kind)
-    return joined.groupBy("run_id", "flip").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("bm25_rank"), 6).alias("mean_bm25_rank"), F.round(F.avg("splade_rank"), 6).alias("mean_splade_rank"))
+    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("score", "bm25_rank", "splade_rank", "bm25_score", "splade_score")]
+    return joined.groupBy("run_id", "flip").agg(F.count("*").alias("n"), *means)
 
 
 def grid(points: int) -> Column:
@@ -85,15 +86,26 @@ def rank_gate(facts: DataFrame, base_run: int = 0) -> DataFrame:
     return joined.groupBy(branch.alias("branch")).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("n_correct"))
 
 
+def min_max(facts: DataFrame, column: str, *by: str) -> DataFrame:
+    """``facts`` with ``<column>_scaled``: 0 for the least value of its group, 1 for the greatest, 0 where all are equal."""
+    per = Window.partitionBy(*by)
+    low, high = F.min(column).over(per), F.max(column).over(per)
+    return facts.withColumn(f"{column}_scaled", F.round(F.coalesce((F.col(column) - low) / F.nullif((high - low).cast("double"), F.lit(0.0)), F.lit(0.0)), 9))
+
+
 def weighted_choice(facts: DataFrame, weights: list[tuple[float, float, float]], base_run: int = 0) -> DataFrame:
-    """(w_bm25, w_splade, w_score, accuracy) when the run with the greatest weighted score answers; the first run on ties."""
-    used = facts.filter(F.col("run_id") != base_run)
+    """(w_bm25, w_splade, w_score, accuracy) when the run with the greatest weighted score answers; the first run on ties.
+
+    A question's runs are one row, which meets the literal weights without a
+    shuffle; each task then hands on one row per weights.
+    """
+    runs = F.collect_list(F.struct("run_id", "bm25_score", "splade_score", "score", F.col("is_correct").cast("double").alias("right")))
+    per = facts.filter(F.col("run_id") != base_run).groupBy("question_no").agg(runs.alias("runs"))
     tries = F.array(*[F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(w, ("w_bm25", "w_splade", "w_score")))) for w in weights])
-    tried = used.withColumn("w", F.explode(tries)).select("*", "w.*")
-    blend = F.round(0.01 * F.col("bm25_score") * F.col("w_bm25") + 0.01 * F.col("splade_score") * F.col("w_splade") + F.col("score") * F.col("w_score"), 9)
-    winner = F.max_by("is_correct", F.struct(blend.alias("s"), (-F.col("run_id")).alias("r")))
-    chosen = tried.groupBy("w_bm25", "w_splade", "w_score", "question_no").agg(winner.alias("is_correct"))
-    return chosen.groupBy("w_bm25", "w_splade", "w_score").agg(F.round(F.avg(F.col("is_correct").cast("double")), 6).alias("accuracy"))
+    tried = per.withColumn("w", F.explode(tries))
+    blend = lambda r: F.round(0.01 * r["bm25_score"] * F.col("w.w_bm25") + 0.01 * r["splade_score"] * F.col("w.w_splade") + r["score"] * F.col("w.w_score"), 9)
+    winner = F.array_max(F.transform("runs", lambda r: F.struct(blend(r).alias("s"), (-r["run_id"]).alias("r"), r["right"].alias("right"))))
+    return tried.groupBy("w.w_bm25", "w.w_splade", "w.w_score").agg(F.round(F.avg(winner["right"]), 6).alias("accuracy"))
 
 
 def vote_combinations(facts: DataFrame, runs: list[int], size: int) -> DataFrame:

@@ -49,6 +49,13 @@ def accuracy(df: DataFrame, *by: str, correct: str = "is_correct") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), hits.alias("n_correct"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"))
 
 
+def run_summary(df: DataFrame, *by: str, correct: str = "is_correct", at: str = "ts") -> DataFrame:
+    """Accuracy of each run, and the seconds from its first answer to its last."""
+    hits = F.sum(F.col(correct).cast("long"))
+    seconds = F.max(F.col(at).cast("double")) - F.min(F.col(at).cast("double"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), hits.alias("n_correct"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"), F.round(seconds, 3).alias("seconds"))
+
+
 def effective_accuracy(voted: DataFrame, truth: str = "correct_answer") -> DataFrame:
     """Accuracy over all and over those not voted invalid."""
     right = F.col("answer") == F.col(truth)

@@ -59,6 +59,26 @@ def fuse(ranked: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
 
 
+def fuse_surviving(surviving: DataFrame, ranked: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
+    """The surviving list (query_id, doc_id, rank) put in the order of the fusion of its documents' ranks in the stages.
+
+    A document has, for each stage that ranked it, weight / (k + rank); ranks
+    are those that the stages gave. Equal sums keep the list's order.
+    """
+    fused = fuse(ranked.join(surviving.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), weights, k)
+    return rerank(surviving, fused.select("query_id", "doc_id", "score"))
+
+
+def best_only(ranked: DataFrame) -> DataFrame:
+    """Each query's first document."""
+    return ranked.filter(F.col("rank") == 1)
+
+
+def stage_texts(questions: DataFrame, choices: str = "choices") -> DataFrame:
+    """(query_id, question, question_and_choices): what first and sparse and dense stages ask, and what cross-encoders and list rankers do."""
+    return questions.select("query_id", F.col("text").alias("question"), F.concat(F.col("text"), F.lit("\n"), F.col(choices)).alias("question_and_choices"))
+
+
 def nth(ranked: DataFrame, n: int) -> DataFrame:
     """The document in place n, counted from 0; no row where there is none."""
     return ranked.filter(F.col("rank") == n + 1)

@@ -3,39 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .search import SCALE, top_k
 
-#: Queries compared at a time: bounds what is broadcast.
-QUERY_BLOCK = 2048
+#: Vectors in a packed row, of the queries and of those searched.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Bytes of queries that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 
 
-def _nearest(shared, k: int, metric: str):
+def _pack(size: int):
+    """(ids, data): rows of up to ``size`` vectors of one length, out of (id, vector)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[list[float]]]] = {}
+
+        def packed(dim: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(vectors, "<f8").tobytes()], pa.binary())], ["ids", "data"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not v or None in v:
+                    continue
+                mine = held.setdefault(len(v), ([], []))
+                mine[0].append(i)
+                mine[1].append(v)
+                if len(mine[0]) >= size:
+                    yield packed(len(v))
+        for dim in list(held):
+            yield packed(dim)
+
+    return run
+
+
+def _nearest(k: int, metric: str):
+    """(query_id, doc_id, score) of the k best, and of ties at the border, for each query of a pair of packed rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
         for batch in batches:
-            vectors = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(vectors):
-                continue
-            ids = batch.column(0).to_numpy()
-            if metric == "cosine":
-                norms = np.linalg.norm(vectors, axis=1)
-                asked = queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-300)[:, None]
-                scores = np.round(asked @ (vectors / np.maximum(norms, 1e-300)[:, None]).T, SCALE)
-            else:
-                scores = -np.round((queries**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1)[None] - 2 * queries @ vectors.T, SCALE)
-            own = names[:, None] == ids[None]
-            scores[own] = -np.inf
-            picked = np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(names), 1))
-            # ties at the border stay in: all scores at least as good as the k-th
-            worst = np.take_along_axis(scores, picked, axis=1).min(axis=1) if picked.size else np.empty(0)
-            q, v = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[v]), pa.array(np.abs(scores[q, v]) if metric == "l2" else scores[q, v])], ["query_id", "doc_id", "score"])
+            for names, queries, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                names, ids = np.frombuffer(names, "<i8"), np.frombuffer(ids, "<i8")
+                queries, vectors = (np.frombuffer(x, "<f8").reshape(len(n), -1) for x, n in ((queries, names), (vectors, ids)))
+                if queries.shape[1] != vectors.shape[1]:
+                    continue
+                if metric == "cosine":
+                    queries, vectors = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] for x in (queries, vectors))
+                    scores = np.round(queries @ vectors.T, SCALE)
+                else:
+                    scores = -np.round((queries**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1)[None] - 2 * queries @ vectors.T, SCALE)
+                scores[names[:, None] == ids[None]] = -np.inf
+                worst = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
+                q, v = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[v]), pa.array(np.abs(scores[q, v]) if metric == "l2" else scores[q, v])], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -44,18 +69,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     """(query_id, doc_id, score, rank): the k nearest of all vectors to each query, itself excluded.
 
     ``queries`` and ``vectors`` are (id, vector). Cosine goes by the greatest
-    score, squared L2 distance by the least. Queries go in blocks of
-    QUERY_BLOCK through one scan of the vectors; a task keeps its k best per
-    query, so only those are shuffled.
+    score, squared L2 distance by the least. Rows without id, and vectors that
+    are null, empty or hold nulls, take no part; lengths that differ never meet.
+
+    Queries and vectors are packed, a block of them a row, and every block of
+    the stated queries meets every block of vectors. Nothing comes to the
+    driver; a pair of blocks leaves k rows a query, which alone are shuffled.
     """
-    spark = queries.sparkSession
-    rows = [(r[0], r[1]) for r in queries.toLocalIterator() if r[1] is not None]
-    vectors = vectors.filter("vector is not null").select("id", "vector")
-    found = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    for at in range(0, len(rows), QUERY_BLOCK):
-        part = rows[at : at + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in part]), np.array([r[1] for r in part], np.float64)))
-        found = found.unionByName(vectors.mapInArrow(_nearest(shared, k, metric), "query_id long, doc_id long, score double")) if at else vectors.mapInArrow(_nearest(shared, k, metric), "query_id long, doc_id long, score double")
+    asked = queries.select("id", "vector").filter("id is not null and vector is not null").mapInArrow(_pack(QUERY_BLOCK), "ids binary, data binary")
+    asked = asked.select(F.col("ids").alias("names"), F.col("data").alias("queries"))
+    blocks = vectors.select("id", "vector").filter("id is not null and vector is not null").mapInArrow(_pack(VECTOR_BLOCK), "ids binary, data binary")
+    found = asked.crossJoin(blocks).mapInArrow(_nearest(k, metric), "query_id long, doc_id long, score double")
     if metric == "cosine":
         return top_k(found, k)
     return top_k(found.withColumn("order", -F.col("score")), k, score="order").drop("order")
@@ -68,25 +92,80 @@ def vote_labels(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.groupBy("query_id").agg(F.max_by("label", F.struct("n", (-F.col("first")).alias("near"))).alias("label"), F.max("n").alias("votes"))
 
 
-def ivf_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 10, probe: int = 3, seed: int = 7) -> DataFrame:
-    """Approximate k nearest by squared L2: k-means cells, of which each query looks into the ``probe`` nearest.
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors in k-means cells: vectors(id, vector, cell) and the cells' centres."""
 
-    The cells are fitted by the library's distributed k-means; all vectors are
-    assigned. With ``probe`` equal to ``cells`` the result is exact.
-    """
+    vectors: DataFrame
+    centres: list[list[float]]
+
+    def save(self, path: str) -> None:
+        """Write the index, a folder per cell, so that a search reads only the cells it looks into."""
+        spark = self.vectors.sparkSession
+        self.vectors.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        spark.createDataFrame(list(enumerate(self.centres)), "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CellIndex:
+        centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+        return CellIndex(spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("int")), [r["centre"] for r in centres])
+
+    def search(self, queries: DataFrame, k: int, probe: int) -> DataFrame:
+        """The k nearest by squared L2 among the vectors of the ``probe`` cells nearest to each query; exact if these are all."""
+        gaps = F.array(*[F.struct(_squared(F.col("vector"), c).alias("gap"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)])
+        near = F.slice(F.array_sort(gaps), 1, probe)["cell"] if self.centres else F.array().cast("array<int>")
+        asked = queries.filter("id is not null and vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode(near).alias("cell"))
+        size = queries.count() * probe * (8 * len(self.centres[0]) + 32) if self.centres else 0
+        pairs = self.vectors.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "cell").filter("id <> query_id")
+        gap = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
+        ranked = pairs.select("query_id", F.col("id").alias("doc_id"), F.round(gap, SCALE).alias("score")).withColumn("order", -F.col("score"))
+        return top_k(ranked, k, score="order").drop("order")
+
+
+def cell_index(vectors: DataFrame, cells: int = 10, seed: int = 7) -> CellIndex:
+    """Fit the cells by the library's distributed k-means and assign every vector (id, vector) to one; null vectors have none."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    data = vectors.filter("id is not null and vector is not null").select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    if data.isEmpty():
+        return CellIndex(data.select("id", "vector", F.lit(0).alias("cell")), [])
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(data)
-    placed = model.transform(data).select("id", "vector", F.col("prediction").alias("cell"))
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    gaps = F.array(*[F.struct(_squared(F.col("vector"), c).alias("gap"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode(F.slice(F.array_sort(gaps), 1, probe)["cell"]).alias("cell"))
-    pairs = placed.join(F.broadcast(asked) if len(centres) <= 4096 else asked, "cell").filter("id <> query_id")
-    gap = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-    ranked = pairs.select("query_id", F.col("id").alias("doc_id"), F.round(gap, SCALE).alias("score")).withColumn("order", -F.col("score"))
-    return top_k(ranked, k, score="order").drop("order")
+    return CellIndex(model.transform(data).select("id", "vector", F.col("prediction").alias("cell")), [[float(x) for x in c] for c in model.clusterCenters()])
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n, recall): the share of the exact neighbours (query_id, doc_id) that were found."""
+    hit = found.select("query_id", "doc_id", F.lit(1.0).alias("hit"))
+    return exact.select("query_id", "doc_id").join(hit, ["query_id", "doc_id"], "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+def embed(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, vector) by a model: a factory, called once a task, of a function from a list of texts to as many lists of numbers.
+
+    Texts go to it by Arrow batch; a null text counts as empty.
+    """
+    @F.pandas_udf("array<double>")
+    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = model()
+        for texts in batches:
+            yield pd.Series([list(map(float, v)) for v in run(texts.tolist())])
+
+    return df.select(F.col(id_col).alias("id"), vectors_of(F.coalesce(text_col, F.lit(""))).alias("vector"))
+
+
+def cosine_scores(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): cosine of each candidate with its own query; ``queries`` and ``docs`` are (id, vector).
+
+    Candidates without either vector, or with a zero one, have a null score.
+    """
+    def dot(a: str, b: str) -> F.Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    pairs = candidates.select("query_id", "doc_id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id", "left")
+    pairs = pairs.join(docs.select(F.col("id").alias("doc_id"), F.col("vector").alias("d")), "doc_id", "left")
+    cosine = dot("q", "d") / F.nullif(F.sqrt(dot("q", "q")) * F.sqrt(dot("d", "d")), F.lit(0.0))
+    return pairs.select("query_id", "doc_id", F.round(cosine, SCALE).alias("score"))
 
 
 def _squared(vector: F.Column, centre: list[float]) -> F.Column:
