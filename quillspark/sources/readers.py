@@ -32,7 +32,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Lines without a time stamp have null ts and level.
     """
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     pattern = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) - (\w+) - (.*)$"
     stamped = F.rlike("line", F.lit(pattern))
     return files.select(
@@ -45,7 +45,7 @@ RAG_SCHEMA = "array<struct<docId:string,BM25_score:double,BM25_ranking:int,SPLAD
 
 
 def answers_from_log(lines: DataFrame) -> DataFrame:
-    """(file, run_no, question_no, answer, correct_answer, is_correct, rag) from log lines.
+    """(file, run_no, question_no, answer, correct_answer, is_correct, rag, ts) from log lines.
 
     A header line ``use_RAG:`` begins a run. The last ``RAG data:`` line goes
     with the next question. A question number that is not the running count
@@ -60,14 +60,14 @@ def answers_from_log(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.coalesce(block, F.lit(0)))
     rows = rows.withColumn("rag_line", F.last("rag_line", ignorenulls=True).over(Window.partitionBy("file", "run_no", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     found = rows.filter("asked").select(
-        "file", "run_no", "line_no", F.regexp_extract("message", r"^question (\d+)", 1).cast("int").alias("question_no"),
+        "file", "run_no", "line_no", "ts", F.regexp_extract("message", r"^question (\d+)", 1).cast("int").alias("question_no"),
         F.regexp_extract("message", r"answer:(\S+)\s+correct_answer:(\S+)", 1).alias("answer"), F.regexp_extract("message", r"answer:(\S+)\s+correct_answer:(\S+)", 2).alias("correct_answer"),
         F.from_json("rag_line", RAG_SCHEMA, {"allowSingleQuotes": "true"}).alias("rag"),
     )
     per_run = Window.partitionBy("file", "run_no").orderBy("line_no")
     found = found.withColumn("bad", F.row_number().over(per_run) != F.col("question_no"))
     broken = F.max(F.col("bad").cast("int")).over(per_run.rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("broken", broken).filter("broken = 0").select("file", "run_no", "question_no", "answer", "correct_answer", (F.col("answer") == F.col("correct_answer")).alias("is_correct"), "rag")
+    return found.withColumn("broken", broken).filter("broken = 0").select("file", "run_no", "question_no", "answer", "correct_answer", (F.col("answer") == F.col("correct_answer")).alias("is_correct"), "rag", "ts")
 
 
 def sections(lines: DataFrame, markers: dict[str, str], end: str) -> DataFrame:
@@ -91,6 +91,37 @@ def sections(lines: DataFrame, markers: dict[str, str], end: str) -> DataFrame:
     return out.filter("ended = 1").withColumn("output", F.expr(f"substring(output, {len(end) + 1})")).drop("ended")
 
 
+def keyed_sections(spark: SparkSession, path: str, first: str, texts: dict[str, str], listed: tuple[str, str]) -> DataFrame:
+    """Records of text files whose marker lines carry values: ``[question index:]12``, ``[rag_doc:]0:text``.
+
+    ``first`` marks the line that opens a record; the whole number behind it is
+    column ``number``. ``texts`` maps markers to the columns of their text: what
+    follows on the line and, up to the next marker, on lines after it. Lines of
+    ``listed`` (marker, column) hold ``n:text`` and make an array of their texts
+    in the order of the lines. A marker may stand anywhere in its line. A file is
+    one task, as its order matters. Lines before the first record are left out.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    found, value = F.lit(None).cast("string"), F.col("line")
+    for marker in reversed([first, *texts, listed[0]]):
+        at = F.instr(F.col("line"), marker)
+        found = F.when(at > 0, marker).otherwise(found)
+        value = F.when(at > 0, F.substring(F.col("line"), at + len(marker), F.length("line"))).otherwise(value)
+    upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = files.select("file", "line_no", found.alias("marker"), value.alias("value"))
+    rows = rows.withColumn("record", F.sum((F.col("marker").eqNullSafe(F.lit(first))).cast("int")).over(upto)).filter("record > 0")
+    inside = F.last("marker", ignorenulls=True).over(Window.partitionBy("file", "record").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("section", inside)
+
+    def of(section: str, own: bool = False) -> F.Column:
+        row = F.when((F.col("section") == section) & (F.col("marker").isNotNull() if own else F.lit(True)), F.struct("line_no", "value"))
+        return F.transform(F.array_sort(F.collect_list(row)), lambda x: x["value"])
+
+    number = F.max(F.when(F.col("marker") == first, F.expr("try_cast(trim(value) as bigint)"))).alias("number")
+    docs = F.transform(of(listed[0], own=True), lambda x: F.substr(x, F.instr(x, ":") + 1)).alias(listed[1])
+    return rows.groupBy("file", "record").agg(number, *(strip_space(F.array_join(of(m), "\n")).alias(c) for m, c in texts.items()), docs)
+
+
 def delimited_labels(spark: SparkSession, path: str) -> DataFrame:
     """(label, text) of lines ``label ||| text``."""
     parts = F.split("value", r" \|\|\| ", 2)
@@ -99,12 +130,46 @@ def delimited_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def json_questions(spark: SparkSession, path: str) -> DataFrame:
     """(section, name, question, options, answer) of nested JSON ``{"quiz": {section: {name: {...}}}}``."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     nested = F.from_json("value", "struct<quiz:map<string,map<string,struct<question:string,options:array<string>,answer:string>>>>")
     rows = raw.select(F.explode(nested["quiz"]).alias("section", "names")).select("section", F.explode("names").alias("name", "q"))
     return rows.select("section", "name", "q.*")
 
 
+def json_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """(key, *columns) of column-oriented JSON files ``{column: {key: value, ...}, ...}``; ``columns`` maps names to types.
+
+    A row has the values that the columns give for its key, null where one has none.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    kind = ", ".join(f"`{c}`: map<string, {t}>" for c, t in columns.items())
+    data = raw.select(F.input_file_name().alias("file"), F.from_json("value", f"struct<{kind}>").alias("c"))
+    keys = F.array_distinct(F.flatten(F.array(*(F.coalesce(F.map_keys(F.col("c")[c]), F.array().cast("array<string>")) for c in columns))))
+    rows = data.withColumn("key", F.explode(keys))
+    return rows.select("key", *(F.try_element_at(F.col("c")[c], F.col("key")).alias(c) for c in columns))
+
+
+def dataset(spark: SparkSession, path: str, split: str, config: str | None = None) -> DataFrame:
+    """A split of a data set that is kept as ``path/config=.../split=...`` (or ``path/split=...``); other folders are not read."""
+    found = spark.read.option("basePath", path).parquet(path)
+    chosen = found.filter(F.col("split") == split)
+    if config is not None:
+        chosen = chosen.filter(F.col("config") == config)
+    return chosen.drop("split", "config")
+
+
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """(n_files, n_bytes) of all files under a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+def question_record(question: F.Column, options: F.Column, answer: F.Column) -> F.Column:
+    """A question as a record with its options (array of letter and text) as lines, and its answer's text."""
+    lines = F.array_join(F.transform(options, lambda o: F.concat(o["letter"], F.lit(". "), o["text"], F.lit("\n"))), "")
+    return F.concat(F.lit("<DOC>\n<TEXT>\n"), question, F.lit("\n\n"), lines, F.lit("</TEXT>\n<ANSWER>\n"), answer, F.lit("\n</ANSWER>\n</DOC>\n"))
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of whole text, html, markdown or JSON files."""
-    return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
