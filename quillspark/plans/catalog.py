@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays, text
 from quillspark.operators import analysis, evaluation, index, prep, retrieval, search, vectors
+from quillspark.shared import new_path
 from quillspark.sources import readers
 
 from .facts import FACTS_SQL, RESPONSES_SQL, RUNS, facts, responses
@@ -31,8 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_saved: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(table(spark, sf_dir, "documents"))
+    """The saved index of the documents: built by the first query that needs it, and again if files were changed since."""
+    docs = table(spark, sf_dir, "documents")
+    state = docs.agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_block_length"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _saved:
+        path = new_path(spark, "index")
+        index.build(docs).save(path)
+        _saved[key] = path
+    return index.load(spark, _saved[key])
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +98,19 @@ def corpus_stats(spark, sf_dir):
     return _index(spark, sf_dir).corpus_stats().select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
+@query(f"WITH {_TF} SELECT (SELECT n FROM ns) AS n_docs, (SELECT count(*) FROM df) AS n_terms, count(*) AS n_postings, cast(sum(tf) AS bigint) AS n_tokens FROM tf")
+def index_saved(spark, sf_dir):
+    # the whole way, whatever other queries have left: tokenise, write, read
+    path = new_path(spark, "index-saved")
+    index.build(table(spark, sf_dir, "documents")).save(path)
+    i = index.load(spark, path)
+    totals = i.postings.agg(F.count("*").alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    return i.corpus_stats().select("n_docs").crossJoin(i.terms().agg(F.count("*").alias("n_terms"))).crossJoin(totals)
+
+
 @query(f"WITH {_TF} SELECT term, df, round({_IDF}, 6) AS idf FROM df, ns")
 def term_df_idf(spark, sf_dir):
-    i = _index(spark, sf_dir)
-    df = index.document_frequency(i.postings).crossJoin(F.broadcast(i.corpus_stats()))
-    return df.select("term", "df", F.round(index.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+    return _index(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TF} SELECT tf.term, any_value(df) AS df, round(max({_BM25}), 6) AS max_impact FROM tf JOIN df ON tf.term = df.term JOIN dl ON tf.doc_id = dl.doc_id, ns GROUP BY tf.term")
@@ -155,11 +173,9 @@ _SPARSE_SQL = f"sparse AS (SELECT query_id, tf.doc_id, {_SPARSE} AS score FROM t
 
 
 def _sparse_scores(i: index.Index, questions: DataFrame) -> DataFrame:
-    terms = search.query_terms(questions)
-    asked = index.restrict(i, terms).postings
-    weights = index.document_frequency(asked).crossJoin(F.broadcast(i.corpus_stats())).select("term", index.idf(F.col("n_docs"), F.col("df")).alias("w"))
-    q = terms.join(weights, "term").select("query_id", "term", (F.col("w") * F.col("qtf")).alias("q"))
-    d = asked.join(weights, "term").select("doc_id", "term", (F.col("w") * (1 + F.log("tf"))).alias("d"))
+    known = search.known_terms(i, search.query_terms(questions))
+    q = known.select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("q"))
+    d = i.postings.join(known.select("term", "idf").distinct(), "term").select("doc_id", "term", (F.col("idf") * (1 + F.log("tf"))).alias("d"))
     return vectors.sparse_dot(q, d)
 
 
@@ -247,11 +263,26 @@ def context_concat(spark, sf_dir):
     return retrieval.concat_context(search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 3, documents=docs))
 
 
-@query(f"WITH {_BM}, top AS ({_top(6)}) SELECT query_id, doc_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS int) AS rank FROM top WHERE rank <= 2")
+def _slid(steps: int, window: int, step: int, ids: str = "ids", name: str = "list") -> str:
+    """CTEs that sort windows of a list of ids from its end to its front, then number it."""
+    out, before = [], name + "0"
+    for i in range(1, steps + 1):
+        at = f"greatest(len(x) - {window + (i - 1) * step}, 0)"
+        out.append(f"{name}{i} AS (SELECT query_id, x[1:{at}] || list_sort(x[{at} + 1:{at} + {window}]) || x[{at} + {window} + 1:] AS x FROM {before})")
+        before = f"{name}{i}"
+    return ", ".join(out) + f", {name} AS (SELECT query_id, unnest(x) AS doc_id, cast(generate_subscripts(x, 1) AS int) AS rank FROM {before})"
+
+
+def _smaller_first(_, docs):
+    """A stand-in for a list ranker: smaller ids first."""
+    return sorted(range(len(docs)), key=docs.__getitem__)
+
+
+@query(f"WITH {_BM}, top AS ({_top(10)}), list0 AS (SELECT query_id, list(doc_id ORDER BY rank) AS x FROM top GROUP BY query_id), {_slid(4, 4, 2)} SELECT * FROM list")
 def listwise_rerank(spark, sf_dir):
-    # the list ranker is a stand-in that prefers smaller ids
-    found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 2).select("query_id", "doc_id", "rank")
-    return retrieval.listwise(found, lambda _, docs: sorted(range(len(docs)), key=docs.__getitem__), 3)
+    # ten documents under a window of four: it slides, and the ten do not end up sorted
+    found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 10).select("query_id", "doc_id", "rank")
+    return retrieval.listwise(found, _smaller_first, 4)
 
 
 _COS = "round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
@@ -288,9 +319,42 @@ def knn_label_vote(spark, sf_dir):
 
 @query(f"WITH {_L2} SELECT * FROM knn")
 def ann_ivf_kmeans(spark, sf_dir):
-    # with every cell probed the index is exact, as in the reference configuration
+    # ten cells of which ten are probed, as in the reference configuration: an exact search by way of cells
     v = _vectors(spark, sf_dir)
-    return vectors.ivf_nearest(v.filter("id % 50 = 0").select("id", "vector"), v, 3, cells=10, probe=10)
+    return vectors.cell_index(v, 10).search(v.filter("id % 50 = 0").select("id", "vector"), 3, 10)
+
+
+@query("SELECT count(*) * 3 AS n, true AS at_least_90 FROM embeddings WHERE vec_id % 50 = 0")
+def ann_ivf_recall(spark, sf_dir):
+    """An approximate search of a saved index, seven of ten cells, against the exact one."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("id % 50 = 0").select("id", "vector")
+    path = new_path(spark, "cells")
+    vectors.cell_index(v, 10).save(path)
+    found = vectors.CellIndex.load(spark, path).search(asked, 3, 7)
+    return vectors.recall(found, vectors.nearest(asked, v, 3, "l2")).select("n", (F.col("recall") >= 0.9).alias("at_least_90"))
+
+
+def _by_id(spark, sf_dir):
+    """Stand-ins for embeddings of texts: the vector with the same id."""
+    return _vectors(spark, sf_dir).select("id", "vector")
+
+
+_DENSE = "round(list_cosine_similarity(q.embedding::double[], d.embedding::double[]), 6)"
+
+
+@query(f"""WITH {_BM}, top AS ({_top(10)}), c AS (SELECT top.query_id, top.doc_id, top.rank AS before, {_DENSE} AS score FROM top LEFT JOIN embeddings q ON query_id = q.vec_id LEFT JOIN embeddings d ON doc_id = d.vec_id)
+SELECT query_id, doc_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, before) AS int) AS rank FROM c""")
+def dense_rerank(spark, sf_dir):
+    found, v = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 10), _by_id(spark, sf_dir)
+    return retrieval.rerank(found, vectors.cosine_scores(found, v, v))
+
+
+@query("SELECT doc_id, cast(length(text) AS double) AS v1, cast(length(text) - length(replace(text, 'e', '')) AS double) AS v2 FROM documents")
+def embed_texts(spark, sf_dir):
+    # the model is a stand-in that SQL can repeat
+    made = vectors.embed(table(spark, sf_dir, "documents"), lambda: lambda texts: [(len(t), t.count("e")) for t in texts])
+    return made.select(F.col("id").alias("doc_id"), F.col("vector")[0].alias("v1"), F.col("vector")[1].alias("v2"))
 
 
 _WORD = "regexp_extract(text, '[A-Za-z0-9]+', 0)"
@@ -316,6 +380,84 @@ def choices_format(spark, sf_dir):
     return _mcq(spark, sf_dir).select("item_id", text.format_choices(F.col("choices")).alias("choices"), text.format_choices(F.col("choices"), F.coalesce("answer_key", F.lit(""))).alias("masked"))
 
 
+def _shown_choices():
+    return F.array_join(F.transform("choices", lambda c: F.concat(c["letter"], F.lit("="), c["text"])), "|").alias("choices")
+
+
+@query("SELECT item_id, 'A=' || length(text) || '|B=' || item_id || '|C=none' AS choices, substr('ABC', cast(item_id % 3 AS int) + 1, 1) AS answer_key FROM benchmark")
+def mcq_array(spark, sf_dir):
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.array(F.length("text").cast("string"), F.col("item_id").cast("string"), F.lit("none")).alias("options"), (F.col("item_id") % 3).cast("int").alias("label"))
+    return evaluation.normalise_array(df, "options", "label").select("item_id", _shown_choices(), "answer_key")
+
+
+@query("SELECT item_id, 'A=none|B=' || item_id || '|C=' || length(text) AS choices, substr('ABC', cast(item_id % 3 AS int) + 1, 1) AS answer_key FROM benchmark")
+def mcq_map(spark, sf_dir):
+    options = F.create_map(F.lit("C"), F.length("text").cast("string"), F.lit("A"), F.lit("none"), F.lit("B"), F.col("item_id").cast("string"))
+    df = table(spark, sf_dir, "benchmark").select("item_id", options.alias("options"), F.substr(F.lit("ABC"), (F.col("item_id") % 3 + 1).cast("int"), F.lit(1)).alias("answer"))
+    return evaluation.normalise_map(df, "options", "answer").select("item_id", _shown_choices(), "answer_key")
+
+
+@query("SELECT item_id, 'A=yes|B=no|C=maybe' AS choices, substr('ABC', cast(item_id % 3 AS int) + 1, 1) AS answer_key, substr(text, 1, 20) || chr(10) || item_id AS context FROM benchmark")
+def mcq_yes_no(spark, sf_dir):
+    decision = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("maybe")), (F.col("item_id") % 3 + 1).cast("int"))
+    df = table(spark, sf_dir, "benchmark").select("item_id", F.array(F.substring("text", 1, 20), F.col("item_id").cast("string")).alias("contexts"), decision.alias("decision"))
+    return evaluation.normalise_yes_no(df, "contexts", "decision").select("item_id", _shown_choices(), "answer_key", "context")
+
+
+def _staged(spark, sf_dir):
+    asked = _mcq(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("question").alias("text"), text.format_choices(F.col("choices")).alias("choices"))
+    return retrieval.stage_texts(asked)
+
+
+@query(f"WITH {_MCQ} SELECT item_id AS query_id, question, question || chr(10) || {_CHOICES.format('o')} AS question_and_choices FROM mcq")
+def stage_query_texts(spark, sf_dir):
+    return _staged(spark, sf_dir)
+
+
+_ALL_STAGES = f"""WITH {_BM}, {_SPARSE_SQL}, {_RERANKED}, {_MCQ},
+qc AS (SELECT item_id, question || chr(10) || {_CHOICES.format('o')} AS text FROM mcq),
+{_QT.replace('FROM benchmark', 'FROM qc').replace('qt AS', 'qt2 AS', 1)},
+cross2 AS (SELECT query_id, tf.doc_id, {_SPARSE} AS score FROM tf JOIN qt2 ON tf.term = qt2.term JOIN df ON tf.term = df.term, ns GROUP BY query_id, tf.doc_id),
+s2 AS (SELECT re.query_id, re.doc_id, cast(row_number() OVER (PARTITION BY re.query_id ORDER BY {_DENSE} DESC NULLS LAST, re.rank) AS int) AS rank FROM re LEFT JOIN embeddings q ON re.query_id = q.vec_id LEFT JOIN embeddings d ON re.doc_id = d.vec_id WHERE re.rank <= 10),
+s3 AS (SELECT s2.query_id, s2.doc_id, cast(row_number() OVER (PARTITION BY s2.query_id ORDER BY cross2.score DESC NULLS LAST, s2.rank) AS int) AS rank FROM s2 LEFT JOIN cross2 ON s2.query_id = cross2.query_id AND s2.doc_id = cross2.doc_id WHERE s2.rank <= 8),
+list0 AS (SELECT query_id, list(doc_id ORDER BY rank) AS x FROM s3 WHERE rank <= 5 GROUP BY query_id), {_slid(3, 3, 1)},
+rrf AS (SELECT list.query_id, list.doc_id, list.rank, round(0.8::double / (60::double + re.rank) + 1::double / (60::double + s3.rank) + 1::double / (60::double + list.rank), 9) AS score
+  FROM list JOIN re ON list.query_id = re.query_id AND list.doc_id = re.doc_id JOIN s3 ON list.query_id = s3.query_id AND list.doc_id = s3.doc_id WHERE list.rank <= 3)"""
+
+
+def _all_stages(spark, sf_dir):
+    """Search, sparse and dense stages by the question, cross-encoder and list stages by question and choices; stand-ins score."""
+    i, asked = _index(spark, sf_dir), _staged(spark, sf_dir)
+    question = asked.select("query_id", F.col("question").alias("text"))
+    both = asked.select("query_id", F.col("question_and_choices").alias("text"))
+    sparse = retrieval.rerank(search.search(i, question, 30), _sparse_scores(i, question), 10)
+    v = _by_id(spark, sf_dir)
+    dense = retrieval.rerank(sparse, vectors.cosine_scores(sparse, v, v), 8)
+    cross = retrieval.rerank(dense, _sparse_scores(i, both), 5)
+    listed = retrieval.listwise(cross.select("query_id", "doc_id", "rank"), _smaller_first, 3).filter("rank <= 3")
+    ranks = [df.select("query_id", "doc_id", "rank", F.lit(n).alias("stage")) for n, df in (("sparse", sparse), ("dense", dense), ("cross", cross), ("list", listed))]
+    ranked = ranks[0].unionByName(ranks[1]).unionByName(ranks[2]).unionByName(ranks[3])
+    return retrieval.fuse_surviving(listed, ranked, {"sparse": 0.8, "cross": 1.0, "list": 1.0})
+
+
+@query(f"{_ALL_STAGES} SELECT query_id, doc_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS int) AS rank FROM rrf")
+def cascade_all_stages(spark, sf_dir):
+    return _all_stages(spark, sf_dir)
+
+
+@query(f"{_ALL_STAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM rrf) SELECT query_id, doc_id, score FROM o WHERE place = 1")
+def cascade_best_only(spark, sf_dir):
+    return retrieval.best_only(_all_stages(spark, sf_dir)).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {_BM}, top AS ({_top(3)}) SELECT query_id, top.doc_id, cast(length(b.text) AS double) / (1 + length(d.text)) AS score FROM top JOIN documents d ON top.doc_id = d.doc_id JOIN benchmark b ON query_id = item_id")
+def pointwise_scores(spark, sf_dir):
+    # the cross-encoder is a stand-in: lengths of both texts
+    found = search.search(_index(spark, sf_dir), _questions(spark, sf_dir), 3)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.score_pairs(found, _questions(spark, sf_dir).withColumnRenamed("text", "query"), docs, lambda: lambda queries, texts: [len(q) / (1 + len(t)) for q, t in zip(queries, texts)])
+
+
 @query(f"""WITH {_MCQ}, {_BM}, top AS ({_top(2)}), ctx AS (SELECT query_id, string_agg(text || chr(10) || chr(10), '' ORDER BY rank) AS context FROM top JOIN documents ON top.doc_id = documents.doc_id WHERE score > 100 GROUP BY query_id)
 SELECT item_id, CASE WHEN coalesce(context, '') = '' THEN chr(10) || question || chr(10) || chr(10) || {_CHOICES.format('o')} || chr(10)
   ELSE chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || {_CHOICES.format('o')} || chr(10) END AS prompt
@@ -413,7 +555,7 @@ def runs_correct(spark, sf_dir):
 
 @query(f"""WITH {FACTS_SQL}, b AS (SELECT question_no, is_correct AS base FROM facts WHERE run_id = 0),
 j AS (SELECT f.*, CASE WHEN NOT base AND is_correct THEN 'wrong_to_right' WHEN base AND NOT is_correct THEN 'right_to_wrong' WHEN is_correct THEN 'right' ELSE 'wrong' END AS flip FROM facts f JOIN b ON f.question_no = b.question_no WHERE run_id <> 0)
-SELECT run_id, flip, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(bm25_rank), 6) AS mean_bm25_rank, round(avg(splade_rank), 6) AS mean_splade_rank FROM j GROUP BY run_id, flip""")
+SELECT run_id, flip, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(bm25_rank), 6) AS mean_bm25_rank, round(avg(splade_rank), 6) AS mean_splade_rank, round(avg(bm25_score), 6) AS mean_bm25_score, round(avg(splade_score), 6) AS mean_splade_score FROM j GROUP BY run_id, flip""")
 def flip_analysis(spark, sf_dir):
     return analysis.flips(facts(spark, sf_dir), 0)
 
@@ -447,11 +589,11 @@ def local_rank_gate(spark, sf_dir):
     return analysis.rank_gate(facts(spark, sf_dir))
 
 
-_WEIGHTS = [(a / 2, b / 2, c / 2) for a in range(3) for b in range(3) for c in range(3)]
-_VALUES = ", ".join(f"({a}::double, {b}::double, {c}::double)" for a, b, c in _WEIGHTS)
+_WEIGHTS = [(a / 10, b / 10, c / 10) for a in range(11) for b in range(11) for c in range(11)]
+_TENTHS = "(SELECT i::double / 10 AS {} FROM range(11) t(i))"
 
 
-@query(f"""WITH {FACTS_SQL}, w(w_bm25, w_splade, w_score) AS (VALUES {_VALUES}),
+@query(f"""WITH {FACTS_SQL}, w AS (SELECT * FROM {_TENTHS.format('w_bm25')}, {_TENTHS.format('w_splade')}, {_TENTHS.format('w_score')}),
 s AS (SELECT w.*, question_no, is_correct, row_number() OVER (PARTITION BY w_bm25, w_splade, w_score, question_no ORDER BY round(0.01::double * bm25_score * w_bm25 + 0.01::double * splade_score * w_splade + score * w_score, 9) DESC, run_id) AS r FROM facts, w WHERE run_id <> 0)
 SELECT w_bm25, w_splade, w_score, round(avg(is_correct::int), 6) AS accuracy FROM s WHERE r = 1 GROUP BY w_bm25, w_splade, w_score""")
 def weight_grid(spark, sf_dir):
@@ -488,14 +630,19 @@ def sequential_split(spark, sf_dir):
     return prep.sequential_split(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-@query("SELECT item_id, count(*) AS n_matches FROM benchmark b JOIN documents d ON substr(b.text, 1, 6) = substr(d.text, 1, 6) GROUP BY item_id")
+@query("SELECT item_id, count(*) AS n_matches FROM benchmark b JOIN documents d ON substr(b.text, 1, 10) = substr(d.text, 1, 10) GROUP BY item_id")
 def contamination_prefix(spark, sf_dir):
-    return prep.contaminated_prefix(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 6).select("item_id", "n_matches")
+    return prep.contaminated_prefix(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10).select("item_id", "n_matches")
 
 
-@query("SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY item_id")
+@query("SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def contamination_passage(spark, sf_dir):
-    return prep.contaminated_passage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 60)
+    return prep.contaminated_passage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("SELECT item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 100)) GROUP BY item_id")
+def contamination_opening(spark, sf_dir):
+    return prep.contaminated_passage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 100)
 
 
 @query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
@@ -560,6 +707,20 @@ def sentence_chunks(spark, sf_dir):
     return prep.sentence_chunks(table(spark, sf_dir, "documents"))
 
 
+_CHUNKS = f"""sen AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents)),
+num AS (SELECT doc_id, i, sentence, len(regexp_extract_all(sentence, '[A-Za-z0-9]+')) AS n FROM sen),
+cut AS (SELECT doc_id, i, sentence, floor(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 60)::bigint AS chunk_no FROM num),
+chunks AS (SELECT doc_id || ':' || chunk_no AS doc_id, string_agg(sentence, ' ' ORDER BY i) AS text FROM cut GROUP BY doc_id, chunk_no)"""
+
+
+@query(f"WITH {_CHUNKS}, {_BM.replace('FROM documents', 'FROM chunks')}, top AS ({_top(2)}) SELECT query_id, top.doc_id AS chunk_id, score, rank, text AS chunk FROM top JOIN chunks ON top.doc_id = chunks.doc_id")
+def chunk_bm25(spark, sf_dir):
+    chunks = prep.chunk_texts(table(spark, sf_dir, "documents")).select(F.concat_ws(":", "doc_id", "chunk_no").alias("doc_id"), "chunk")
+    path = new_path(spark, "chunk-index")
+    index.build(chunks, text_col="chunk").save(path)
+    return search.search(index.load(spark, path), _questions(spark, sf_dir), 2, documents=chunks).withColumnRenamed("doc_id", "chunk_id")
+
+
 _CLEAN = "regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
 
 
@@ -587,12 +748,9 @@ def tagged_export(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.tagged_text(F.col("doc_id").cast("string"), F.col("text")).alias("record"))
 
 
-def _round_trip(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    import uuid
-
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    lines.write.text(path)
+def _round_trip(spark: SparkSession, lines: DataFrame, name: str, *folders: str) -> str:
+    path = new_path(spark, name)
+    lines.write.partitionBy(*folders).text(path)
     return path
 
 
@@ -601,21 +759,110 @@ def tagged_doc_scan(spark, sf_dir):
     return readers.tagged_documents(spark, _round_trip(spark, tagged_export(spark, sf_dir).select("record"), "tagged"))
 
 
-@query(f"WITH {FACTS_SQL} SELECT run_id::bigint AS run_no, question_no, answer, correct_answer, is_correct, 'd' || question_no AS doc, round(score, 3) AS score FROM facts")
+_GAP = 20  #: the last run's file has no line for its 20th question: what follows does not count
+_LOGGED = f"n0 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY question_no) AS n FROM facts), logged AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 1 ELSE 2 END AS run_no FROM n0 WHERE run_id < 4 OR n < {_GAP})"
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    """Log lines of the runs, two in a file, read back; a question takes a second."""
+    rows = facts(spark, sf_dir).withColumn("n", F.expr("row_number() over (partition by run_id order by question_no)")).filter(f"run_id < 4 or n <> {_GAP}")
+    stamp = F.concat(F.date_format(F.timestamp_seconds(F.lit(1735689600) + F.col("run_id") * 1000000 + F.col("n")), "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - INFO - "))
+    rag = F.concat(stamp, F.format_string("RAG data: [{'docId': 'd%d-%d', 'BM25_score': %.1f, 'MonoT5_score': %.3f}]", "run_id", "question_no", "bm25_score", "score"))
+    asked = F.concat(stamp, F.format_string("question %d/99 num:%d answer:%s correct_answer:%s %s", "n", "question_no", "answer", "correct_answer", F.initcap(F.col("is_correct").cast("string"))))
+    header = F.concat(F.lit("2025-01-01 00:00:00,000 - INFO - use_RAG: True\n"))
+    line = F.concat(F.when(F.col("n") == 1, header).otherwise(F.lit("")), rag, F.lit("\n"), asked)
+    body = rows.groupBy(F.floor(F.col("run_id") / 2).alias("log")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "n", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    return readers.log_lines(spark, _round_trip(spark, body, "logs", "log"))
+
+
+@query(f"WITH {FACTS_SQL}, {_LOGGED} SELECT run_no::bigint AS run_no, n::int AS question_no, answer, correct_answer, is_correct, 'd' || run_id || '-' || question_no AS doc, round(score, 3) AS score FROM logged")
 def log_parse(spark, sf_dir):
-    stamp = "2025-01-01 00:00:00,000 - INFO - "
-    rows = facts(spark, sf_dir).withColumn("n", F.expr("row_number() over (partition by run_id order by question_no)"))
-    rag = F.format_string(stamp + "RAG data: [{'docId': 'd%d', 'BM25_score': %.1f, 'MonoT5_score': %.3f}]", "question_no", "bm25_score", "score")
-    asked = F.format_string(stamp + "question %d/99 num:%d answer:%s correct_answer:%s %s", "n", "question_no", "answer", "correct_answer", F.initcap(F.col("is_correct").cast("string")))
-    body = rows.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(rag, F.lit("\n"), asked).alias("lines")))), lambda x: x["lines"]), "\n").alias("body"))
-    files = body.select(F.concat(F.lit(stamp + "use_RAG: True\n"), F.col("body")).alias("value"), "run_id")
-    lines = readers.log_lines(spark, _round_trip(spark, files.repartition("run_id").sortWithinPartitions("run_id").select("value"), "logs"))
-    found = readers.answers_from_log(lines)
-    # the question's id is in its document's name
-    doc = F.col("rag")[0]["docId"]
-    named = found.select("answer", "correct_answer", "is_correct", doc.alias("doc"), F.round(F.col("rag")[0]["MonoT5_score"], 3).alias("score"), F.expr("cast(substring(rag[0].docId, 2) as bigint)").alias("question_no"))
-    keyed = facts(spark, sf_dir).select("run_id", "question_no", F.round("score", 3).alias("score"))
-    return named.join(keyed, ["question_no", "score"]).select(F.col("run_id").cast("long").alias("run_no"), "question_no", "answer", "correct_answer", "is_correct", "doc", "score")
+    found = readers.answers_from_log(_logs(spark, sf_dir))
+    return found.select("run_no", "question_no", "answer", "correct_answer", "is_correct", F.col("rag")[0]["docId"].alias("doc"), F.round(F.col("rag")[0]["MonoT5_score"], 3).alias("score"))
+
+
+@query(f"WITH {FACTS_SQL}, {_LOGGED} SELECT run_no::bigint AS run_no, run_id // 2 AS log, count(*) AS n, cast(sum(is_correct::int) AS bigint) AS n_correct, round(avg(is_correct::int), 6) AS accuracy, cast(count(*) - 1 AS double) AS seconds FROM logged GROUP BY run_no, run_id // 2")
+def run_elapsed(spark, sf_dir):
+    found = readers.answers_from_log(_logs(spark, sf_dir))
+    log = F.regexp_extract("file", r"log=(\d+)", 1).cast("int").alias("log")
+    return evaluation.run_summary(found.withColumn("log", log), "log", "run_no")
+
+
+@query("SELECT label::int AS label, text FROM (SELECT quality AS label, 'text ||| of ' || doc_id AS text FROM labels)")
+def labelled_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "labels").select(F.concat_ws(" ||| ", F.col("quality").cast("string"), F.concat(F.lit("text ||| of "), F.col("doc_id").cast("string"))).alias("value"))
+    return readers.delimited_labels(spark, _round_trip(spark, lines, "labelled"))
+
+
+@query("SELECT 'about ' || item_id AS context, 'which ' || item_id || '?' || chr(10) || 'second line' AS question, 'item ' || item_id AS output FROM benchmark")
+def section_records(spark, sf_dir):
+    i = F.col("item_id").cast("string")
+    lines = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Context:\nabout "), i, F.lit("\n\nQuestion:\nwhich "), i, F.lit("?\nsecond line\n[output]item "), i).alias("value"))
+    shown = readers.log_lines(spark, _round_trip(spark, lines, "sections"))
+    return readers.sections(shown, {"Context:": "context", "Question:": "question"}, "[output]").select("context", "question", "output")
+
+
+_TRAINED = "SELECT item_id AS number, 'Which ' || item_id || '?' || chr(10) || 'A. one' AS question, ['the first: ' || item_id, 'the second'] AS docs, 'A' || chr(10) || 'as told' AS output FROM benchmark"
+
+
+@query(f"SELECT number, question, array_to_string(docs, '|') AS docs, output FROM ({_TRAINED})")
+def training_log_parse(spark, sf_dir):
+    i = F.col("item_id").cast("string")
+    lines = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("[question index:] "), i, F.lit("\n[question_and_options:]Which "), i, F.lit("?\nA. one\n[rag_doc:]0:the first: "), i, F.lit("\n[rag_doc:]1:the second\nlost\n[expected_output:]A\nas told")).alias("value")
+    )
+    found = readers.keyed_sections(spark, _round_trip(spark, lines, "trained"), "[question index:]", {"[question_and_options:]": "question", "[expected_output:]": "output"}, ("[rag_doc:]", "docs"))
+    return found.select("number", "question", F.array_join("docs", "|").alias("docs"), "output")
+
+
+@query("SELECT item_id::varchar AS key, text, length(text)::bigint AS size FROM benchmark")
+def json_columns(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("k"), "text", F.length("text").cast("long").alias("size"))
+    both = items.agg(*(F.map_from_entries(F.collect_list(F.struct("k", c))).alias(c) for c in ("text", "size")))
+    path = _round_trip(spark, both.select(F.to_json(F.struct("text", "size")).alias("value")), "columns")
+    return readers.json_columns(spark, path, {"text": "string", "size": "bigint"})
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id % 10 = 3")
+def dataset_split(spark, sf_dir):
+    path = new_path(spark, "dataset")
+    split = F.when(F.col("doc_id") % 10 == 3, "validation").otherwise("train")
+    table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("config"), split.alias("split")).write.partitionBy("config", "split").parquet(path)
+    return readers.dataset(spark, path, "validation", "en")
+
+
+@query("SELECT cast(sum(length(doc_id::varchar) + 1) AS bigint) AS n_bytes FROM labels")
+def folder_size(spark, sf_dir):
+    path = _round_trip(spark, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("value")), "sized")
+    return readers.folder_size(spark, path).select("n_bytes")
+
+
+_EXPORTED = "'<DOC>' || chr(10) || '<TEXT>' || chr(10) || question || chr(10) || chr(10) || array_to_string(list_transform(options, lambda o, i: substr('ABCD', i::int, 1) || '. ' || o || chr(10)), '') || '</TEXT>' || chr(10) || '<ANSWER>' || chr(10) || CASE WHEN cop >= 0 THEN options[cop + 1] ELSE '' END || chr(10) || '</ANSWER>' || chr(10) || '</DOC>' || chr(10)"
+
+
+@query(f"WITH {_MCQ} SELECT item_id, {_EXPORTED} AS record FROM mcq")
+def question_export(spark, sf_dir):
+    keyed = F.filter("choices", lambda c: c["letter"] == F.col("answer_key"))
+    answer = F.coalesce(F.try_element_at(keyed, F.lit(1))["text"], F.lit(""))
+    return _mcq(spark, sf_dir).select("item_id", readers.question_record(F.col("question"), F.col("choices"), answer).alias("record"))
+
+
+@query(f"WITH {FACTS_SQL}, m AS (SELECT *, min(bm25_score) OVER (PARTITION BY question_no) AS low, max(bm25_score) OVER (PARTITION BY question_no) AS high FROM facts) SELECT question_no, run_id, round(coalesce((bm25_score - low) / nullif(high - low, 0), 0), 9) AS bm25_score_scaled FROM m")
+def min_max_scores(spark, sf_dir):
+    return analysis.min_max(facts(spark, sf_dir), "bm25_score", "question_no").select("question_no", "run_id", "bm25_score_scaled")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents)")
+def last_incomplete(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    rows = docs.crossJoin(F.broadcast(last)).select("doc_id", "source", F.when(F.col("doc_id") == F.col("last"), F.array().cast("array<string>")).otherwise(F.array("source")).alias("docs"))
+    return prep.drop_incomplete(rows, "docs", "doc_id").select("doc_id", "source")
+
+
+@query(f"WITH {RESPONSES_SQL} SELECT item_id, CASE WHEN instr(lower(response), 'answer is') > 0 THEN trim(regexp_replace(substr(response, instr(lower(response), 'answer is') + 9), '\\s+', ' ', 'g')) END AS tail FROM responses")
+def answer_tail_spaced(spark, sf_dir):
+    return responses(spark, sf_dir).select("item_id", text.spaced_tail(F.col("response"), "answer is").alias("tail"))
 
 
 @query("SELECT doc_id, source, lang FROM documents ORDER BY doc_id LIMIT 100")
@@ -629,9 +876,9 @@ def few_shot_examples(spark, sf_dir):
     return prep.few_shot(items, 5, 7, "item_id", "question", "answer")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 100 = 0")
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 100 = 0")
 def modulo_sample(spark, sf_dir):
-    return prep.every_nth(table(spark, sf_dir, "documents"), 100, "doc_id").select("doc_id", "source")
+    return prep.every_nth(table(spark, sf_dir, "documents").select("doc_id", "source"), 100, "doc_id")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE starts_with(source, 'src1') GROUP BY source")
