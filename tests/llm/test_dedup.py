@@ -134,8 +134,31 @@ def test_estimates_are_unbiased_and_bounded():
     units = rng.standard_normal((400, 64))
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     signs, factors, _ = rotcodes.encode(units, search)
-    found, half = rotcodes.estimates(units, signs, factors, search)
+    found, half = rotcodes.estimates(signs, factors, search)
     true = units @ units.T
     off = ~np.eye(400, dtype=bool)
     assert abs((found - true)[off].mean()) < 0.005
-    assert (np.abs(found - true) <= half[:, None])[off].mean() > 0.999
+    assert (np.abs(found - true) <= half)[off].mean() > 0.9999
+    # pairs at the threshold stay open
+    other = rng.standard_normal((400, 64))
+    other -= (other * units).sum(axis=1, keepdims=True) * units
+    near = 0.9 * units + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    signs, factors, _ = rotcodes.encode(np.concatenate((units, near)), search)
+    a, b = rotcodes.open_pairs(signs, factors, search)
+    assert {(i, i + 400) for i in range(400)} <= set(zip(a.tolist(), b.tolist()))
+    assert len(a) < 0.05 * 800 * 799 / 2
+
+
+def test_few_pairs_are_computed_again_and_codes_alone_are_shuffled(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((3000, 64)).astype(np.float32)
+    vectors[1500:1600] = vectors[:100] + 0.02 * rng.standard_normal((100, 64))
+    search, scratch = rotcodes.Search(bucket=64).plan(3000), Scratch(spark, "t")
+    distinct = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(vectors)], "id long, copies long, vector binary")
+    found = rotcodes.near_links(distinct, search, scratch, "<f4").collect()
+    again = sum(r["n"] for r in found if r["u"] is None)
+    links = sum(r["n"] for r in found if r["u"] is not None and r["v"] is None)
+    assert links == 200 and 100 <= again < 0.02 * 3000 * 2999 / 2
+    assert "vector" not in spark.read.parquet(scratch.path("codes")).columns
+    # rows with an open pair are few, so few vectors go into cells
+    assert spark.read.parquet(scratch.path("open")).count() < 0.3 * 3000 * search.tables
