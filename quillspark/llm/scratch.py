@@ -1,26 +1,14 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut with written Parquet tables under ``spark.checkpoint.dir``. An
-executor that is lost later costs nothing but a re-read. Only where the
-setting is absent (tests, a laptop) a temporary folder is made.
+executor that is lost later costs nothing but a re-read.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, as a URI without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return base.rstrip("/")
+from quillspark.shared import new_path
 
 
 class Scratch:
@@ -28,7 +16,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.uri = new_path(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
