@@ -48,16 +48,21 @@ def _last(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
+# The wordings that the first and the second way of extraction look for.
+ANSWER_IS, BRACKETED_CAPITAL = r"the answer is .(\w).", r"[\(\[]([A-Z])[\)\]]"
+BOXED, ANSWER_COLON, LAST_BRACKETED = r"\\boxed\{([^}]+)\}", r"(?:Answer|answer):\s*\[?([A-Z])\]?", r"\[([A-Z])\](?:\s|$)"
+
+
 def extract_answer_v1(response: Column) -> Column:
     """``the answer is (X)``, else the last bracketed capital, else invalid; in parentheses."""
-    letter = F.coalesce(_first(response, r"the answer is .(\w)."), _last(response, r"[\(\[]([A-Z])[\)\]]"))
+    letter = F.coalesce(_first(response, ANSWER_IS), _last(response, BRACKETED_CAPITAL))
     return F.coalesce(F.concat(F.lit("("), letter, F.lit(")")), F.lit(INVALID))
 
 
 def extract_answer_v2(response: Column) -> Column:
     """A boxed answer, else ``Answer: [X]``, else the last ``[X]`` before white space or the end, else invalid."""
-    boxed = F.regexp_extract(response, r"\\boxed\{([^}]+)\}", 1)
-    found = F.coalesce(F.nullif(F.trim(boxed), F.lit("")), _first(response, r"(?:Answer|answer):\s*\[?([A-Z])\]?"), _last(response, r"\[([A-Z])\](?:\s|$)"))
+    boxed = F.regexp_extract(response, BOXED, 1)
+    found = F.coalesce(F.nullif(F.trim(boxed), F.lit("")), _first(response, ANSWER_COLON), _last(response, LAST_BRACKETED))
     return F.coalesce(found, F.lit(INVALID))
 
 
@@ -111,12 +116,21 @@ def sentences(text: Column) -> Column:
 
 
 
+# The text that hides an option, and the two prompts around context, question and choices.
+HIDDEN_OPTION = "None of the other answers"
+PLAIN_PROMPT = ("\n", "\n\n", "\n")
+CONTEXT_PROMPT = ("\nContext:\n", "\n\nQuestion:\n", "\n\n", "\n")
+
+
+def _filled(template: tuple[str, ...], *values: Column) -> Column:
+    """The template's pieces with the values between them."""
+    return F.concat(F.lit(template[0]), *(x for value, piece in zip(values, template[1:]) for x in (value, F.lit(piece))))
+
+
 def format_choices(choices: Column, answer_key: Column | None = None) -> Column:
     """``[A] : text`` lines of an array of (letter, text); with a key, its text is masked."""
-    masked = "None of the other answers"
-
     def line(c: Column) -> Column:
-        text = c["text"] if answer_key is None else F.when(c["letter"] == answer_key, masked).otherwise(c["text"])
+        text = c["text"] if answer_key is None else F.when(c["letter"] == answer_key, HIDDEN_OPTION).otherwise(c["text"])
         return F.concat(F.lit("["), c["letter"], F.lit("] : "), text)
 
     return F.array_join(F.transform(choices, line), "\n")
@@ -124,8 +138,8 @@ def format_choices(choices: Column, answer_key: Column | None = None) -> Column:
 
 def build_prompt(context: Column, question: Column, choices: Column) -> Column:
     """The prompt with context, or the plain one where the context is null or empty."""
-    plain = F.concat(F.lit("\n"), question, F.lit("\n\n"), choices, F.lit("\n"))
-    full = F.concat(F.lit("\nContext:\n"), context, F.lit("\n\nQuestion:\n"), question, F.lit("\n\n"), choices, F.lit("\n"))
+    plain = _filled(PLAIN_PROMPT, question, choices)
+    full = _filled(CONTEXT_PROMPT, context, question, choices)
     return F.when(F.coalesce(context, F.lit("")) == "", plain).otherwise(full)
 
 

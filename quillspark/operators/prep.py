@@ -123,19 +123,23 @@ def contaminated_passage(items: DataFrame, docs: DataFrame, prefix: int | None =
     keyed = items.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("item"), whole.alias("head"))
     size = F.least(F.size(tokens(F.col("head"))) - 2, F.lit(words))
     keyed = keyed.withColumn("size", size).withColumn("gram", F.when(F.col("size") > 0, F.array_join(F.slice(tokens(F.col("head")), F.lit(2), F.col("size")), " ")))
-    sizes = [r[0] for r in keyed.filter("size > 0").select("size").distinct().collect()]
+    every_size = [r[0] for r in keyed.select("size").distinct().collect()]
+    sizes = [n for n in every_size if n > 0]
     bodies = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"))
     split = bodies.select("doc", tokens(F.col("body")).alias("t"))
 
     def grams(n: int) -> Column:
         return F.expr(f"transform(sequence(1, greatest(size(t) - {n} + 1, 1)), i -> array_join(slice(t, i, {n}), ' '))")
 
-    few = bodies.join(keyed.filter("size <= 0"), F.contains("body", "head")).select("item", "doc")
+    found = keyed.limit(0).select("item", F.col("item").alias("doc")) if not every_size else None
+    if len(sizes) < len(every_size):
+        found = bodies.join(keyed.filter("size <= 0"), F.contains("body", "head")).select("item", "doc")
     if sizes:
         exploded = split.select("doc", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("gram"))
         hits = exploded.join(keyed.filter("size > 0"), "gram").select("doc", "item", "head").distinct()
-        few = few.union(hits.join(bodies, "doc").filter(F.contains("body", "head")).select("item", "doc"))
-    return few.groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
+        looked_up = hits.join(bodies, "doc").filter(F.contains("body", "head")).select("item", "doc")
+        found = looked_up if found is None else found.union(looked_up)
+    return found.groupBy(F.col("item").alias(id_col)).agg(F.count_distinct("doc").alias("n_docs"))
 
 
 def context_variants(df: DataFrame, docs: str, counts: tuple[int, ...] = (0, 1, 2)) -> DataFrame:

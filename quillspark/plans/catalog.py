@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import arrays, text
 from quillspark.operators import analysis, evaluation, index, prep, retrieval, search, vectors
 from quillspark.shared import new_path
-from quillspark.sources import readers
+from quillspark.sources import readers, sinks
 
 from .facts import FACTS_SQL, RESPONSES_SQL, RUNS, facts, responses
 
@@ -860,6 +860,28 @@ def last_incomplete(spark, sf_dir):
     return prep.drop_incomplete(rows, "docs", "doc_id").select("doc_id", "source")
 
 
+@query("SELECT item_id % 4 AS folder, string_agg(text || chr(10), '' ORDER BY item_id) AS text FROM benchmark GROUP BY item_id % 4")
+def whole_files(spark, sf_dir):
+    parts = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 4).alias("folder")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("items"))
+    path = _round_trip(spark, parts.select("folder", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("value")), "whole", "folder")
+    return readers.whole_files(spark, path).select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("long").alias("folder"), "text")
+
+
+@query("SELECT make_timestamp(cast(1735689600 + doc_id AS bigint) * 1000000) AS ts, 'INFO' AS level, 'quality ' || quality AS message FROM labels")
+def log_sink(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.timestamp_seconds(F.lit(1735689600) + F.col("doc_id")).alias("ts"), F.lit("INFO").alias("level"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("message"))
+    path = new_path(spark, "log")
+    sinks.append_log(rows, path)
+    return readers.log_lines(spark, path).filter("level is not null").select("ts", "level", "message")
+
+
+@query(f"WITH {FACTS_SQL} SELECT 'first' AS model, run_id::bigint AS run_id, count(*) AS n, round(avg(is_correct::int), 6) AS accuracy FROM facts GROUP BY run_id")
+def results_sink(spark, sf_dir):
+    path = new_path(spark, "results")
+    sinks.write_results_json(evaluation.accuracy(facts(spark, sf_dir), "run_id"), path, model="first")
+    return spark.read.schema("model string, result struct<run_id: bigint, n: bigint, accuracy: double>").json(path).select("model", "result.run_id", "result.n", "result.accuracy")
+
+
 @query(f"WITH {RESPONSES_SQL} SELECT item_id, CASE WHEN instr(lower(response), 'answer is') > 0 THEN trim(regexp_replace(substr(response, instr(lower(response), 'answer is') + 9), '\\s+', ' ', 'g')) END AS tail FROM responses")
 def answer_tail_spaced(spark, sf_dir):
     return responses(spark, sf_dir).select("item_id", text.spaced_tail(F.col("response"), "answer is").alias("tail"))
