@@ -401,15 +401,15 @@ def _candidates(items: Items, columns: np.ndarray, counts: np.ndarray, settings:
     edges = np.append(bounds, len(columns))
     cell_doc = doc[bounds]
     stop = (first_cell + cells)[cell_doc]
-    every = np.arange(len(bounds))
+    within = np.arange(len(bounds)) - first_cell[cell_doc]
     sums = sums_of_rows(items.screen, columns, cell, len(bounds), step)
     upto = np.zeros((len(bounds) + 1, sums.shape[1]), np.int32)
     np.cumsum(sums, axis=0, out=upto[1:])
     topics, first = upto[:, : items.corpus].astype(np.float32), items.corpus
     found = []
     for group in items.groups:
-        # windows overlap by half at least
-        begin = every[:: max(1, group.span // 2)]
+        # windows overlap by half at least, from each document's first cell on
+        begin = np.flatnonzero(within % max(1, group.span // 2) == 0)
         end = np.minimum(begin + group.span, stop[begin])
         inner = upto[:, first : first + len(group.items)]
         first += len(group.items)
