@@ -58,9 +58,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark; rows without doc_id stay."""
-    found = latent.contaminated(docs, read_table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold an item of the benchmark; rows without doc_id stay.
+
+    The ids are written first: few of them are broadcast by their known size,
+    many are joined by a shuffle.
+    """
+    scratch = Scratch(spark, "pipeline-benchmark")
+    found = latent.contaminated(docs, read_table(spark, sf_dir, "benchmark"), scratch)
+    ids = scratch.table(found.select("doc_id").filter("doc_id is not null").distinct(), "found")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
