@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .scratch import Scratch
 
 #: Edges that a task contracts at a time.
@@ -60,7 +61,7 @@ def contract(edges: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(tidy(run), "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -128,7 +128,8 @@ def near_links(distinct: DataFrame, scratch: Scratch, hot_bucket: int = HOT_BUCK
     spread = F.xxhash64("fp", F.lit(7))
     asking = met.join(sizes, "key").select("key", "fp", F.lit(False).alias("entry"), F.pmod(spread, "i_of").alias("i"), F.explode(F.expr("sequence(0L, j_of - 1)")).alias("j"))
     entered = table.join(sizes, "key").select("key", "fp", F.lit(True).alias("entry"), F.explode(F.expr("sequence(0L, i_of - 1)")).alias("i"), F.pmod(spread, "j_of").alias("j"))
-    return links.union(asking.union(entered).groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"))
+    # written, so that what reads the links has one Python worker a task, not two
+    return links.union(scratch.table(asking.union(entered).groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"), "hot-links"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -143,7 +144,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     fps = scratch.table(fingerprints(docs, id_col, text_col, width), "fingerprints")
     per_fp = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    links = near_links(fps.select("fp").distinct(), scratch)
+    links = near_links(scratch.table(fps.select("fp").distinct(), "distinct"), scratch)
     roots = connected_components(links, scratch).withColumnRenamed("node", "fp")
     rooted = per_fp.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
