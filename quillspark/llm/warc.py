@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .scratch import Scratch
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -93,17 +94,22 @@ def _open(uri: str, mode: str):
     return system.open_output_stream(path)
 
 
-def first_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Rows of (page_id, url, html) with payload and, of the first page that has it, first_id and first_url.
+def first_pages(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
+    """Rows of (page_id, url, html) with payload and, where several pages have it, first_id and first_url of the first.
 
     The first page is the one with the smallest non-null page_id. Digests are
     combined in every task before the shuffle, so a payload that a third of all
     pages share is a row per task. Payloads under ``min_bytes`` have no first.
+
+    Only digests are shuffled to find the repeated payloads, which are written:
+    few of them are broadcast to the pages by their known size, and no payload
+    moves; many are joined by a shuffle, which adaptive execution can split.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
-    firsts = rows.filter("sha is not null and page_id is not null").groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first"))
-    firsts = firsts.select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    repeated = rows.filter("sha is not null").groupBy("sha").agg(first, F.count("*").alias("n")).filter("n > 1 and first is not null")
+    firsts = scratch.table(repeated.select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "firsts")
     return rows.join(firsts, "sha", "left").select("page_id", "url", "payload", "first_id", "first_url")
 
 
@@ -161,7 +167,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, rotat
         if out is not None:
             out.close()
 
-    return scratch.table(first_pages(pages, min_bytes).withColumns({c: F.col(c).cast("long") for c in ("page_id", "first_id")}).mapInArrow(write, INDEX), "index")
+    return scratch.table(first_pages(pages, scratch, min_bytes).withColumns({c: F.col(c).cast("long") for c in ("page_id", "first_id")}).mapInArrow(tidy(write), INDEX), "index")
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
