@@ -211,7 +211,7 @@ def _encode(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
                         if key not in seen:
                             seen.add(key)
                             chunks.append(key)
-                            payloads.append(piece)
+                            payloads.append(bytes(piece))  # Arrow would keep hold of a view
                     sizes.append(np.diff(own).astype("<u4").tobytes())
                     digests.append(b"".join(leaves))
                     roots.append(merkle_root(leaves))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Texts are taken together until they hold so many bytes.
 BATCH_CHARS = 2_500_000
 #: Distinct pieces whose ids a Python worker remembers; beyond, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 # A word of these characters alone is its own NFC form and holds no contraction
 # and no special token, so a letter next to a non-letter is a sure border.
@@ -52,23 +52,24 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._row: dict[str, int] = {}
+        # an Arrow array, not a dictionary: a few strings kept among many that go would hold on to all their memory
+        self._known = pa.array([], pa.large_string())
         self._ids = np.empty(0, np.uint32)
         self._n = np.empty(0, np.int64)
         self._first = np.empty(0, np.int64)
 
-    def _rows(self, pieces: list[str]) -> np.ndarray:
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
         """Rows of distinct pieces, new ones encoded."""
-        rows = np.fromiter(map(self._row.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rows = pc.index_in(pieces, value_set=self._known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            if len(self._row) + len(missing) > CACHE_PIECES:
+            if len(self._known) + len(missing) > CACHE_PIECES:
                 self._forget()
                 missing = np.arange(len(pieces))
-            new = [pieces[i] for i in missing.tolist()]
-            rows[missing] = np.arange(len(self._row), len(self._row) + len(new))
-            self._row.update(zip(new, rows[missing].tolist()))
-            ids, n = self._encode(new)
+            new = pieces.take(pa.array(missing))
+            rows[missing] = np.arange(len(self._known), len(self._known) + len(new))
+            self._known = pa.concat_arrays([self._known, new])
+            ids, n = self._encode(new.to_pylist())
             self._first = np.concatenate((self._first, len(self._ids) + np.cumsum(n) - n))
             self._n = np.concatenate((self._n, n))
             self._ids = np.concatenate((self._ids, ids))
@@ -83,7 +84,7 @@ class WordEncoder:
         parts = pc.ascii_split_whitespace(text)
         offsets = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        rows = self._rows(coded.dictionary)
         ids, ends = ragged_take(self._ids, self._first, self._n, rows[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, np.concatenate(([0], ends))[offsets[1:] - offsets[0]]
 
