@@ -96,16 +96,24 @@ def min_max(facts: DataFrame, column: str, *by: str) -> DataFrame:
 def weighted_choice(facts: DataFrame, weights: list[tuple[float, float, float]], base_run: int = 0) -> DataFrame:
     """(w_bm25, w_splade, w_score, accuracy) when the run with the greatest weighted score answers; the first run on ties.
 
-    A question's runs are one row, which meets the literal weights without a
-    shuffle; each task then hands on one row per weights.
+    A question's runs, few and known by their ids, are columns of one row, which
+    meets the weights without a shuffle; each task then hands on one row per
+    weights.
     """
-    runs = F.collect_list(F.struct("run_id", "bm25_score", "splade_score", "score", F.col("is_correct").cast("double").alias("right")))
-    per = facts.filter(F.col("run_id") != base_run).groupBy("question_no").agg(runs.alias("runs"))
-    tries = F.array(*[F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(w, ("w_bm25", "w_splade", "w_score")))) for w in weights])
-    tried = per.withColumn("w", F.explode(tries))
-    blend = lambda r: F.round(0.01 * r["bm25_score"] * F.col("w.w_bm25") + 0.01 * r["splade_score"] * F.col("w.w_splade") + r["score"] * F.col("w.w_score"), 9)
-    winner = F.array_max(F.transform("runs", lambda r: F.struct(blend(r).alias("s"), (-r["run_id"]).alias("r"), r["right"].alias("right"))))
-    return tried.groupBy("w.w_bm25", "w.w_splade", "w.w_score").agg(F.round(F.avg(winner["right"]), 6).alias("accuracy"))
+    used = facts.filter(F.col("run_id") != base_run)
+    runs = [r[0] for r in used.select("run_id").distinct().orderBy("run_id").collect()]
+    if not runs:
+        return facts.sparkSession.createDataFrame([], "w_bm25 double, w_splade double, w_score double, accuracy double")
+    own = F.struct("bm25_score", "splade_score", "score", F.col("is_correct").cast("double").alias("right"))
+    per = used.groupBy("question_no").agg(*(F.max(F.when(F.col("run_id") == r, own)).alias(f"run{i}") for i, r in enumerate(runs)))
+    # the grid is a parameter, so the product is questions times a fixed number
+    tries = facts.sparkSession.createDataFrame([tuple(map(float, w)) for w in weights], "w_bm25 double, w_splade double, w_score double")
+    tried = per.crossJoin(F.broadcast(tries))
+    blends = [F.round(0.01 * F.col(f"run{i}.bm25_score") * F.col("w_bm25") + 0.01 * F.col(f"run{i}.splade_score") * F.col("w_splade") + F.col(f"run{i}.score") * F.col("w_score"), 9).alias(f"s{i}") for i in range(len(runs))]
+    blended = tried.select("w_bm25", "w_splade", "w_score", *blends, *(F.col(f"run{i}.right").alias(f"right{i}") for i in range(len(runs))))
+    most = F.greatest(*(f"s{i}" for i in range(len(runs)))) if len(runs) > 1 else F.col("s0")
+    right = F.coalesce(*(F.when(F.col(f"s{i}") == most, F.col(f"right{i}")) for i in range(len(runs))))
+    return blended.groupBy("w_bm25", "w_splade", "w_score").agg(F.round(F.avg(right), 6).alias("accuracy"))
 
 
 def vote_combinations(facts: DataFrame, runs: list[int], size: int) -> DataFrame:
