@@ -1,7 +1,9 @@
-"""Text functions: Column in, Column out, all built-in expressions."""
+"""Text functions: Column in, Column out, all built-in expressions; tokens and sentences of UTF-8 bytes too, for Arrow batches."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(f"([a-z0-9]{{1,{TOKEN_CHARS}}})[a-z0-9]*"), F.lit(1))
 
 
+#: Letters lower-cased and digits as they are, all other bytes (those of longer characters too) a space.
+_TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
+
+
+def byte_tokens(text: bytes) -> list[bytes]:
+    """What ``tokens`` gives, of a text in UTF-8: many times faster."""
+    found = text.translate(_TOKEN_BYTES).split()
+    return found if not found or max(map(len, found)) <= TOKEN_CHARS else [t[:TOKEN_CHARS] for t in found]
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -115,6 +127,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), strip_space), lambda s: s != "")
 
 
+_SENTENCE_END = re.compile(rb"([.!?])\s+")
+
+
+def byte_sentences(text: bytes) -> list[bytes]:
+    """What ``sentences`` gives, of a text in UTF-8."""
+    return [s for piece in _SENTENCE_END.sub(b"\\1\x01", text).split(b"\x01") if (s := piece.strip(b" \t\n\r\x0b\x0c"))]
+
 
 # The text that hides an option, and the two prompts around context, question and choices.
 HIDDEN_OPTION = "None of the other answers"

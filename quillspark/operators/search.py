@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import STOP_WORDS, tokens
+from quillspark.shared import written
 
 from .index import Index, bm25, classic_bm25, document_frequency, idf, tfidf
 
@@ -40,30 +41,43 @@ def _parts(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
     return joined.select("query_id", "doc_id", "term", part.alias("part"))
 
 
-def score(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score) of all documents that have a query term, exhaustively.
+def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """Query terms (query_id, term, qtf) of queries (query_id, text) with df and idf, written once; unknown terms go.
 
-    Postings of other terms are dropped before anything is aggregated. ``scorer``
-    is bm25, tfidf or classic.
+    Without saved terms, document frequencies are counted over the postings of
+    the terms asked for alone.
     """
+    terms = written(query_terms(queries), "asked")
     if index.saved_terms is not None:
-        known = known_terms(index, terms)
-    else:
-        # document frequencies of the terms asked for alone, over their postings
-        asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        known = terms.join(document_frequency(asked), "term").crossJoin(F.broadcast(index.corpus_stats().select("n_docs"))).withColumn("idf", idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
+        return written(known_terms(index, terms), "known")
+    counted = document_frequency(index.postings.join(terms.select("term").distinct(), "term", "left_semi"))
+    known = terms.join(counted, "term").crossJoin(F.broadcast(index.corpus_stats().select("n_docs")))
+    return written(known.withColumn("idf", idf(F.col("n_docs"), F.col("df"))).drop("n_docs"), "known")
+
+
+def score(index: Index, known: DataFrame, scorer: str = "bm25") -> DataFrame:
+    """(query_id, doc_id, score) of all documents that have a query term, exhaustively.
+
+    ``known`` are the ``asked_terms``. Postings of other terms are dropped
+    before anything is aggregated, and a document's postings are one task's
+    rows, so its score is added up before the shuffle. ``scorer`` is bm25,
+    tfidf or classic.
+    """
     return _parts(index, known, scorer).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCALE).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25", documents: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25", documents: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Top k documents of each query (query_id, text): query_id, doc_id, score, rank, and the documents' columns if given.
 
     ``k`` must not be negative; 0 gives no rows. Queries of stop words or
-    unknown terms give no rows. Documents are joined after ranking.
+    unknown terms give no rows. The k best are found at once and written, so
+    that stages behind do not search again, and that documents, joined after
+    ranking, need not be shuffled to meet so few rows. ``known`` are the
+    ``asked_terms`` of the queries, if the caller has them.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    found = top_k(score(index, query_terms(queries), scorer), k)
+    found = written(top_k(score(index, asked_terms(index, queries) if known is None else known, scorer), k), "found")
     return found if documents is None else found.join(documents, "doc_id")
 
 
