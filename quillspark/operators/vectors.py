@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shared import written
+
 from .search import SCALE, top_k
 
 #: Vectors in a packed row, of the queries and of those searched.
@@ -162,8 +164,10 @@ def cosine_scores(candidates: DataFrame, queries: DataFrame, docs: DataFrame) ->
     def dot(a: str, b: str) -> F.Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    pairs = candidates.select("query_id", "doc_id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id", "left")
-    pairs = pairs.join(docs.select(F.col("id").alias("doc_id"), F.col("vector").alias("d")), "doc_id", "left")
+    # vectors that no candidate asks for go first: an outer join would shuffle them all
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).join(candidates.select("query_id").distinct(), "query_id", "left_semi")
+    found = docs.select(F.col("id").alias("doc_id"), F.col("vector").alias("d")).join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = candidates.select("query_id", "doc_id").join(asked, "query_id", "left").join(found, "doc_id", "left")
     cosine = dot("q", "d") / F.nullif(F.sqrt(dot("q", "q")) * F.sqrt(dot("d", "d")), F.lit(0.0))
     return pairs.select("query_id", "doc_id", F.round(cosine, SCALE).alias("score"))
 
@@ -172,6 +176,14 @@ def _squared(vector: F.Column, centre: list[float]) -> F.Column:
     return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, centre)), lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda s, x: s + x)
 
 
-def sparse_dot(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) from (query_id, term, q) and (doc_id, term, d): dot products over common terms."""
-    return query_weights.join(doc_weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("d")), SCALE).alias("score"))
+def sparse_dot(query_weights: DataFrame, doc_weights: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) from (query_id, term, q) and (doc_id, term, d): dot products over common terms.
+
+    With ``candidates`` (query_id, doc_id) only theirs: their terms are written,
+    and a document's other weights go before anything is shuffled.
+    """
+    on = ["term"]
+    if candidates is not None:
+        on = ["term", "doc_id"]
+        query_weights = written(candidates.select("query_id", "doc_id").join(query_weights, "query_id"), "pairs")
+    return query_weights.join(doc_weights, on).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("d")), SCALE).alias("score"))
