@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import sentences, tokens
+from quillspark.functions.text import byte_sentences, byte_tokens, tokens
 from quillspark.shared import written
 
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
@@ -148,16 +151,47 @@ def context_variants(df: DataFrame, docs: str, counts: tuple[int, ...] = (0, 1,
     return n.withColumn("context", F.array_join(F.transform(F.slice(docs, F.lit(1), F.col("n_docs")), lambda d: F.concat(d, F.lit("\n\n"))), ""))
 
 
+def _chunks(size: int, texts: bool):
+    """(id, chunk_no, n_sentences, n_tokens), or (id, chunk_no, chunk), of (id, text): a pass over a document's sentences."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            rows, nos, said, counts = [], [], [], []
+            for row, text in enumerate(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()):
+                before, last = 0, None
+                for sentence in byte_sentences(text) if text else ():
+                    n = len(byte_tokens(sentence))
+                    if before // size != last:
+                        last = before // size
+                        rows.append(row)
+                        nos.append(last)
+                        said.append([])
+                        counts.append(0)
+                    said[-1].append(sentence if texts else None)
+                    counts[-1] += n
+                    before += n
+            out = [ids.take(pa.array(rows, pa.int64())), pa.array(nos, pa.int64())]
+            if texts:
+                yield pa.RecordBatch.from_arrays([*out, pa.array([b" ".join(s) for s in said], pa.binary()).cast(pa.string())], ["id", "chunk_no", "chunk"])
+            else:
+                yield pa.RecordBatch.from_arrays([*out, pa.array(map(len, said), pa.int64()), pa.array(counts, pa.int64())], ["id", "chunk_no", "n_sentences", "n_tokens"])
+
+    return run
+
+
+def _chunked(docs: DataFrame, size: int, id_col: str, text_col: str, texts: bool) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(_chunks(size, texts), f"id {kind}, chunk_no long, " + ("chunk string" if texts else "n_sentences long, n_tokens long"))
+    return found.withColumnRenamed("id", id_col)
+
+
 def sentence_chunks(docs: DataFrame, size: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_no, n_sentences, n_tokens): sentences go to chunk floor(tokens before them / size).
 
-    All within a document's row: running sums over its array of sentences, no shuffle.
+    All within a document's row, no shuffle; time grows with the document's length.
     """
-    counts = F.transform(sentences(F.col(text_col)), lambda s: F.size(tokens(s)).cast("long"))
-    rows = docs.select(F.col(id_col), counts.alias("n"))
-    step = F.aggregate("n", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<chunk:bigint,n:bigint>>").alias("out")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(F.struct(F.floor(acc["sum"] / size).alias("chunk"), x.alias("n")))).alias("out")), lambda acc: acc["out"])
-    parts = rows.select(id_col, F.explode(step).alias("c"))
-    return parts.groupBy(id_col, F.col("c.chunk").alias("chunk_no")).agg(F.count("*").alias("n_sentences"), F.sum("c.n").alias("n_tokens"))
+    return _chunked(docs, size, id_col, text_col, False)
 
 
 def chunk_texts(docs: DataFrame, size: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,13 +200,7 @@ def chunk_texts(docs: DataFrame, size: int = 60, id_col: str = "doc_id", text_co
     All within a document's row; chunks come in order, numbers may leave gaps
     where a sentence alone is longer than ``size``.
     """
-    parts = F.transform(sentences(F.col(text_col)), lambda s: F.struct(s.alias("s"), F.size(tokens(s)).cast("long").alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<no:bigint,s:string>>").alias("out"))
-    placed = F.aggregate(parts, start, lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(F.floor(acc["sum"] / size).alias("no"), x["s"].alias("s")))).alias("out")), lambda acc: acc["out"])
-    rows = docs.select(F.col(id_col), placed.alias("placed"))
-    each = rows.select(id_col, "placed", F.explode(F.array_distinct(F.transform("placed", lambda x: x["no"]))).alias("chunk_no"))
-    own = F.transform(F.filter("placed", lambda x: x["no"] == F.col("chunk_no")), lambda x: x["s"])
-    return each.select(id_col, "chunk_no", F.array_join(own, " ").alias("chunk"))
+    return _chunked(docs, size, id_col, text_col, True)
 
 
 def few_shot(df: DataFrame, n: int, seed: int, key: str, question: str, answer: str) -> DataFrame:
