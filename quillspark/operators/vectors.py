@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,48 +22,71 @@ QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 BROADCAST_BYTES = 32 << 20
 
 
+#: Queries of a block whose scores are held at once.
+TILE = 128
+#: Parts that a cell's vectors are dealt to where the queries are too many to broadcast.
+SALTS = 16
+
+
 def _pack(size: int):
-    """(ids, data): rows of up to ``size`` vectors of one length, out of (id, vector)."""
+    """(ids, data, cell): rows of up to ``size`` vectors of one cell and length, out of (id, vector, cell)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[int], list[list[float]]]] = {}
+        held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def packed(dim: int) -> pa.RecordBatch:
-            ids, vectors = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(vectors, "<f8").tobytes()], pa.binary())], ["ids", "data"])
+        def packed(key: tuple, n: int) -> pa.RecordBatch:
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(key)))
+            if len(ids) > n:
+                held[key] = [(ids[n:], vectors[n:])]
+            return pa.RecordBatch.from_arrays([pa.array([ids[:n].tobytes()], pa.binary()), pa.array([vectors[:n].tobytes()], pa.binary()), pa.array([key[0]], pa.int32())], ["ids", "data", "cell"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not v or None in v:
-                    continue
-                mine = held.setdefault(len(v), ([], []))
-                mine[0].append(i)
-                mine[1].append(v)
-                if len(mine[0]) >= size:
-                    yield packed(len(v))
-        for dim in list(held):
-            yield packed(dim)
+            lists = batch.column(1)
+            ids, cells, sizes = (np.asarray(x) for x in (batch.column(0).cast(pa.int64()), batch.column(2), pc.list_value_length(lists)))
+            values, starts = lists.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+            whole = sizes > 0
+            if values.null_count:
+                gaps = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()))])
+                whole &= gaps[starts[1:]] == gaps[starts[:-1]]
+            values = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for cell, dim in sorted(set(zip(cells[whole].tolist(), sizes[whole].tolist()))):
+                mine = np.flatnonzero(whole & (cells == cell) & (sizes == dim))
+                held.setdefault((cell, dim), []).append((ids[mine].astype("<i8"), values[starts[mine][:, None] + np.arange(dim)].astype("<f8")))
+                while sum(len(x) for x, _ in held.get((cell, dim), [])) >= size:
+                    yield packed((cell, dim), size)
+        for key in list(held):
+            yield packed(key, size)
 
     return run
 
 
+def _packed(vectors: DataFrame, size: int, cell: F.Column | None = None) -> DataFrame:
+    rows = vectors.filter("id is not null and vector is not null").select("id", "vector", (F.lit(0) if cell is None else cell).cast("int").alias("cell"))
+    return rows.mapInArrow(_pack(size), "ids binary, data binary, cell int")
+
+
 def _nearest(k: int, metric: str):
-    """(query_id, doc_id, score) of the k best, and of ties at the border, for each query of a pair of packed rows."""
+    """(query_id, doc_id, score) of the k best, and of ties at the border, for each query of a pair of packed rows; a few queries' scores at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, queries, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-                names, ids = np.frombuffer(names, "<i8"), np.frombuffer(ids, "<i8")
-                queries, vectors = (np.frombuffer(x, "<f8").reshape(len(n), -1) for x, n in ((queries, names), (vectors, ids)))
+            for row in range(batch.num_rows):
+                names, queries, ids, vectors = (np.frombuffer(c[row].as_buffer(), kind) for c, kind in zip(batch.columns, ("<i8", "<f8", "<i8", "<f8")))
+                queries, vectors = queries.reshape(len(names), -1), vectors.reshape(len(ids), -1)
                 if queries.shape[1] != vectors.shape[1]:
                     continue
                 if metric == "cosine":
                     queries, vectors = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] for x in (queries, vectors))
-                    scores = np.round(queries @ vectors.T, SCALE)
-                else:
-                    scores = -np.round((queries**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1)[None] - 2 * queries @ vectors.T, SCALE)
-                scores[names[:, None] == ids[None]] = -np.inf
-                worst = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(names), -np.inf)
-                q, v = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[v]), pa.array(np.abs(scores[q, v]) if metric == "l2" else scores[q, v])], ["query_id", "doc_id", "score"])
+                squares = (vectors**2).sum(axis=1)
+                for at in range(0, len(names), TILE):
+                    some, own = queries[at : at + TILE], names[at : at + TILE]
+                    scores = some @ vectors.T
+                    if metric != "cosine":
+                        scores *= 2
+                        scores -= (some**2).sum(axis=1)[:, None] + squares[None]
+                    np.round(scores, SCALE, out=scores)
+                    scores[own[:, None] == ids[None]] = -np.inf
+                    worst = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(own), -np.inf)
+                    q, v = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[v]), pa.array(np.abs(scores[q, v]) if metric == "l2" else scores[q, v])], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -78,9 +102,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     the stated queries meets every block of vectors. Nothing comes to the
     driver; a pair of blocks leaves k rows a query, which alone are shuffled.
     """
-    asked = queries.select("id", "vector").filter("id is not null and vector is not null").mapInArrow(_pack(QUERY_BLOCK), "ids binary, data binary")
-    asked = asked.select(F.col("ids").alias("names"), F.col("data").alias("queries"))
-    blocks = vectors.select("id", "vector").filter("id is not null and vector is not null").mapInArrow(_pack(VECTOR_BLOCK), "ids binary, data binary")
+    asked = _packed(queries, QUERY_BLOCK).select(F.col("ids").alias("names"), F.col("data").alias("queries"))
+    blocks = _packed(vectors, VECTOR_BLOCK).select("ids", "data")
     found = asked.crossJoin(blocks).mapInArrow(_nearest(k, metric), "query_id long, doc_id long, score double")
     if metric == "cosine":
         return top_k(found, k)
@@ -116,12 +139,17 @@ class CellIndex:
         """The k nearest by squared L2 among the vectors of the ``probe`` cells nearest to each query; exact if these are all."""
         gaps = F.array(*[F.struct(_squared(F.col("vector"), c).alias("gap"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)])
         near = F.slice(F.array_sort(gaps), 1, probe)["cell"] if self.centres else F.array().cast("array<int>")
-        asked = queries.filter("id is not null and vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.explode(near).alias("cell"))
+        asked = queries.filter("id is not null and vector is not null").select("id", "vector", F.explode(near).alias("cell"))
         size = queries.count() * probe * (8 * len(self.centres[0]) + 32) if self.centres else 0
-        pairs = self.vectors.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "cell").filter("id <> query_id")
-        gap = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-        ranked = pairs.select("query_id", F.col("id").alias("doc_id"), F.round(gap, SCALE).alias("score")).withColumn("order", -F.col("score"))
-        return top_k(ranked, k, score="order").drop("order")
+        # packed by cell: blocks of queries meet the blocks of their cell, and a pair of blocks leaves k rows a query
+        asked = _packed(asked, QUERY_BLOCK, F.col("cell")).select(F.col("ids").alias("names"), F.col("data").alias("queries"), "cell")
+        blocks = _packed(self.vectors, VECTOR_BLOCK, F.col("cell"))
+        if size <= BROADCAST_BYTES:
+            pairs = blocks.join(F.broadcast(asked), "cell")
+        else:
+            pairs = blocks.withColumn("salt", F.monotonically_increasing_id() % SALTS).join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["cell", "salt"])
+        found = pairs.select("names", "queries", "ids", "data").mapInArrow(_nearest(k, "l2"), "query_id long, doc_id long, score double")
+        return top_k(found.withColumn("order", -F.col("score")), k, score="order").drop("order")
 
 
 def cell_index(vectors: DataFrame, cells: int = 10, seed: int = 7) -> CellIndex:
