@@ -28,11 +28,18 @@ def tagged_text(doc_no: F.Column, content: F.Column) -> F.Column:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, ts, level, message) of log files; a file is one task, as its order matters.
+    """(file, line_no, ts, level, message) of log files, read line by line in as many parts as Spark cuts them into.
 
+    A line's number is its place in its part and the lines of the file's parts
+    before it, one row a part. What follows a last line feed is an empty line.
     Lines without a time stamp have null ts and level.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    read = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    parts = read.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.first("size").alias("size"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = read.join(F.broadcast(parts.select("file", "part", (before - F.col("first")).alias("shift"))), ["file", "part"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("line_no"), "line")
+    ended = parts.groupBy("file").agg(F.sum("n").cast("int").alias("line_no"), F.sum("bytes").alias("bytes"), F.first("size").alias("size")).filter("bytes = size")
+    files = placed.unionByName(ended.select("file", "line_no", F.lit("").alias("line")))
     pattern = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) - (\w+) - (.*)$"
     stamped = F.rlike("line", F.lit(pattern))
     return files.select(

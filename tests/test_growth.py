@@ -54,3 +54,53 @@ def test_stages_do_not_search_again(spark, tiny, name):
     once = [f for f in catalog._index(spark, tiny).postings.inputFiles()]
     # at most the sparse stage reads postings, those of its candidates
     assert set(files) <= set(once) and plan(catalog.QUERIES[name](spark, tiny)).count("/postings") <= 1
+
+
+def test_cells_and_blocks_leave_few_rows_a_query(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(3000)] + [(9000, None), (9001, [1.0, None, 0.0, 0.0]), (9002, [1.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    cells = vectors.cell_index(v.filter("id < 3000"), 5)
+    exact = sorted(map(tuple, vectors.nearest(v.filter("id < 200"), v, 3, "l2").collect()))
+    assert len(exact) == 600
+    ranked, top_k = [], vectors.top_k
+    monkeypatch.setattr(vectors, "top_k", lambda df, *a, **b: ranked.append(df) or top_k(df, *a, **b))
+    for least in (vectors.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", least)
+        assert sorted(map(tuple, cells.search(v.filter("id < 200"), 3, 5).collect())) == exact
+    # before the ranking a block of vectors leaves three rows a query, not one for each of its vectors
+    assert ranked[0].count() < 200 * 3000 / 3
+
+
+def test_chunks_of_a_long_document_take_one_pass(spark):
+    import time
+
+    from quillspark.operators import prep
+
+    long = "one two three four five. " * 40_000
+    began = time.time()
+    made = prep.chunk_texts(spark.createDataFrame([(1, long)], "doc_id long, text string"))
+    assert made.agg(F.count("*"), F.sum(F.length("chunk"))).first()[0] == 3334
+    assert time.time() - began < 30
+
+
+def test_log_lines_are_numbered_across_the_splits_of_a_file(spark, tmp_path):
+    from quillspark.sources import readers
+
+    lines = [f"2025-01-01 00:00:00,000 - INFO - line {n}" if n % 7 else "" for n in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("\n".join(lines[:3000]) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        got = readers.log_lines(spark, str(tmp_path))
+        # no row holds a file
+        assert "posexplode" not in plan(got)
+        assert got.select(F.spark_partition_id()).distinct().count() > 4
+        for name, want in (("a.txt", lines), ("b.txt", [*lines[:3000], ""])):
+            mine = got.filter(F.endswith("file", F.lit(name))).orderBy("line_no").collect()
+            assert [r["line_no"] for r in mine] == list(range(len(want)))
+            assert [r["message"] for r in mine] == [x[33:] if x else "" for x in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
